@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import perplexity
+from quern.llm import mixing, packing, perplexity
 from quern.llm.common import table
 
 
@@ -15,8 +15,20 @@ def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.quality_filter(docs, table(spark, sf_dir, "labels"), detail=True)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), detail=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op5_quality_perplexity": op5_quality_perplexity,
+    "op10_poisson_mixing": op10_poisson_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_poisson_mixing": mixing.ORACLE,
+}
