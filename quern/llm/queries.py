@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, mixing, packing, perplexity
+from quern.llm import chosen_path, mixing, packing, perplexity, pii
 from quern.llm.common import table
 
 
@@ -27,9 +27,14 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_quality_perplexity": op5_quality_perplexity,
+    "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
