@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, mixing, packing, perplexity, pii
+from quern.llm import chosen_path, html_text, language, mixing, packing, perplexity, pii, url_rules
 from quern.llm.common import table
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.apply_rules(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    scores = html_text.fit(html_text.labelled_pages(pages, table(spark, sf_dir, "documents")))
+    return html_text.extract(pages, scores)
+
+
 def op5_quality_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     return perplexity.quality_filter(docs, table(spark, sf_dir, "labels"), detail=True)
@@ -31,14 +41,22 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_url_rules": op3_url_rules,
+    "op4_html_text": op4_html_text,
     "op5_quality_perplexity": op5_quality_perplexity,
+    "op7_language_id": op7_language_id,
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_poisson_mixing": op10_poisson_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_rules": url_rules.ORACLE,
     "op10_poisson_mixing": mixing.ORACLE,
 }
