@@ -27,8 +27,9 @@ IS_WORD[48:58] = IS_WORD[65:91] = IS_WORD[97:123] = IS_WORD[128:] = True
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser of 64-bit keys (wraps modulo 2**64)."""
     x = np.asarray(x, dtype=np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * _MIX1
-    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    with np.errstate(over="ignore"):  # scalars would warn
+        x = (x ^ (x >> np.uint64(30))) * _MIX1
+        x = (x ^ (x >> np.uint64(27))) * _MIX2
     return x ^ (x >> np.uint64(31))
 
 

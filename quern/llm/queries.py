@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, html_text, language, mixing, packing, perplexity, pii, url_rules
+from quern.llm import chosen_path, html_text, language, mixing, packing, paragraphs, perplexity, pii, url_rules
 from quern.llm.common import table
 
 
+def op2_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.apply_rules(table(spark, sf_dir, "pages"), url_rules.rule_table(spark))
 
@@ -47,6 +51,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_repeated_paragraphs": op2_repeated_paragraphs,
     "op3_url_rules": op3_url_rules,
     "op4_html_text": op4_html_text,
     "op5_quality_perplexity": op5_quality_perplexity,
