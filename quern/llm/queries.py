@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, html_text, language, mixing, packing, paragraphs, perplexity, pii, url_rules
+from quern.llm import chosen_path, html_text, language, mixing, neighbours, packing, paragraphs, perplexity, pii, url_rules
 from quern.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_id(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
     "op4_html_text": op4_html_text,
     "op5_quality_perplexity": op5_quality_perplexity,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
     "op8_pii_bootstrap": op8_pii_bootstrap,
     "op9_near_duplicates": op9_near_duplicates,
