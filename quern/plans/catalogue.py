@@ -1,10 +1,6 @@
 """All named queries with their SQL twins, gathered from the plan modules."""
 
-from __future__ import annotations
+from quern.plans import decisions, entities, relational, statistics, stateful, texts  # noqa: F401
+from quern.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
