@@ -136,8 +136,8 @@ def _wheel(s: str | None) -> str:
     t = s or ""
     found = list(re.finditer(r"(?<![0-9.,])(12|14|16|18|20|24|26|27[.,]5|28|29)(?![0-9])", t))
     for m in found:  # a wheel marker next to the number wins
-        around = t[max(0, m.start() - 14) : m.end() + 10]
-        if re.search(r"wheel|kola|rafk|palc|inch|\"|''", around):
+        before, after = t[max(0, m.start() - 14) : m.start()], t[m.end() : m.end() + 8]
+        if re.search(r"(?:wheels?|kola|rafk\w*)\W*$", before) or re.match(r"\W?(?:\"|''|inch|palc)", after):
             return m.group(1).replace(",", ".")
     for m in found:  # a frame marker before it vetoes
         if not re.search(r"(?:frame|ram|velikost|size)\W*$", t[max(0, m.start() - 12) : m.start()]):
