@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +54,25 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package where they couldn't import it by themselves.
+
+    They can if its folder is the working folder or on PYTHONPATH; else a zip of
+    the sources is added to the application, once.
+    """
+    root = Path(__file__).resolve().parent.parent
+    known = [Path.cwd(), *(Path(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p)]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or any(p.resolve() == root for p in known):
+        return
+    folder = tempfile.mkdtemp(prefix="quern-package-")
+    with zipfile.ZipFile(f"{folder}/quern.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted((root / "quern").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(f"{folder}/quern.zip")
+    _SHIPPED.add(app)

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from quern.session import local_session  # noqa: E402
+from quern.session import local_session, ship  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = local_session("4", 4, "quern-tests")
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     yield session
     session.stop()
 
