@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.llm import kernels as K
-from quern.llm.common import col, free_name
+from quern.llm.common import col, free_name, small_batches
 from quern.operators.components import connected_components
 from quern.session import cut
 
@@ -79,7 +79,7 @@ def _sketches(shingle: int, seed: int):
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(id, content, minima, sketch) of every document with an id and a word."""
-    own = docs.where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("id"), F.lower(col(text).cast("string")).alias("text"))
+    own = small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("id"), F.lower(col(text).cast("string")).alias("text"))
     return own.mapInArrow(_sketches(shingle, seed), _SKETCH_SCHEMA)
 
 

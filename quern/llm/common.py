@@ -23,3 +23,16 @@ def free_name(df: DataFrame, wanted: str, also: Iterable[str] = ()) -> str:
 def col(name: str) -> Column:
     """Column of exactly this name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df``, with at most ``rows`` rows in an Arrow batch of its session.
+
+    Texts are long, and a batch is held on both sides of the pipe by every task.
+    A smaller setting of the session stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > rows:
+        conf.set(name, str(rows))
+    return df

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import col
+from quern.llm.common import col, small_batches
 from quern.session import cut
 
 MAX_LABELLED_PAGES = 1000
@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, page_id: str = "page_id", html: str = "html", text:
 
 def extract(pages: DataFrame, scores: dict[str, float], page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, score, words, tokens) of every page."""
-    own = pages.select(col(page_id).alias("page_id"), col(url).alias("url"), col(html).cast("string").alias("html"))
+    own = small_batches(pages).select(col(page_id).alias("page_id"), col(url).alias("url"), col(html).cast("string").alias("html"))
     kind = own.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.llm import kernels as K
-from quern.llm.common import col
+from quern.llm.common import col, small_batches
 from quern.session import cut
 
 DIMENSIONS = 1024
@@ -114,7 +114,7 @@ def _bundle(dimensions: int, seed: int):
 
 def prototypes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs_per_lang: int = MAX_DOCS_PER_LANG, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Unit prototype of each declared language."""
-    own = docs.where(col(doc_id).isNotNull() & col(lang).isNotNull()).select(col(doc_id).alias("_id"), col(lang).cast("string").alias("lang"), F.lower(col(text).cast("string")).alias("text"))
+    own = small_batches(docs).where(col(doc_id).isNotNull() & col(lang).isNotNull()).select(col(doc_id).alias("_id"), col(lang).cast("string").alias("lang"), F.lower(col(text).cast("string")).alias("text"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id"))
     few = own.select("_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= max_docs_per_lang).select("_id", "lang").distinct()
     sample = cut(own.join(F.broadcast(few), ["_id", "lang"], "left_semi").select("lang", "text"))  # bounded by the sample

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.llm import kernels as K
-from quern.llm.common import col
+from quern.llm.common import col, small_batches
 
 CAPACITY = 2048
 SALTS = 16
@@ -142,7 +142,7 @@ def _pieces(capacity: int):
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
     """(bin_id, bin_offset, doc_id, piece, words, text): one row a piece; offsets and lengths in words."""
-    own = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
+    own = small_batches(docs).select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     pieces = own.mapInArrow(_pieces(capacity), f"doc_id {kind}, piece int, words int, text string")
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col
+from quern.llm.common import col, small_batches
 from quern.operators.components import connected_components
 from quern.session import cut
 
@@ -233,7 +233,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     A cluster is named by its first occurrence, which alone isn't removed.
     """
-    own = docs.where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), F.lower(col(text).cast("string")).alias("text"))
+    own = small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), F.lower(col(text).cast("string")).alias("text"))
     keys = own.mapInArrow(_band_keys(min_words, shingle, bands, rows, seed), "key long, content long")
     buckets = cut(keys.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_runs, "bucket long, content long").distinct())
     colliding = buckets.select("content").distinct()

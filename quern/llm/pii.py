@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col
+from quern.llm.common import col, small_batches
 from quern.session import cut
 
 ROUNDS = 3
@@ -214,7 +214,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end, value, key, seed, patterns); positions in characters, ``end`` exclusive."""
-    own = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where("text RLIKE '[0-9@]'")
+    own = small_batches(docs).select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where("text RLIKE '[0-9@]'")
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(_extract, f"doc_id {kind}, start long, end long, value string, key string, seed string, patterns array<string>")
 
