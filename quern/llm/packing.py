@@ -9,9 +9,10 @@ first, go into the fullest bin that still has room.  The plan is a list of runs
 rank among equals and look up their run.
 
 Scale.  Ranks come from a window over (length, salt) plus offsets from the
-counts, so no length is one partition's burden.  Text moves once.  The plan's
-runs are bounded by the capacity, not by the data, and so is what is broadcast
-with them (lengths x salts).
+counts; a length has as many salts as its count asks for, so that the pieces of
+one length, such as full ones, are never one partition's burden.  Text moves
+once; the offsets join where the window already lies.  The plan's runs are
+bounded by the capacity, not by the data, and only they are broadcast.
 
 Defined cases: a text longer than the capacity is cut at word starts into full
 pieces and a rest, whose concatenation is the text; NULL, empty and blank texts
@@ -35,7 +36,7 @@ from quern.llm import kernels as K
 from quern.llm.common import col, small_batches
 
 CAPACITY = 2048
-SALTS = 16
+WORDS_A_SALT = 500_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -140,25 +141,26 @@ def _pieces(capacity: int):
     return cut
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", words_a_salt: int = WORDS_A_SALT) -> DataFrame:
     """(bin_id, bin_offset, doc_id, piece, words, text): one row a piece; offsets and lengths in words."""
     own = small_batches(docs).select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     pieces = own.mapInArrow(_pieces(capacity), f"doc_id {kind}, piece int, words int, text string")
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    sizes = pieces.where("words > 0").groupBy("words", "salt").count().collect()  # at most capacity x salts rows
-    spark, total, base = docs.sparkSession, {}, []
-    for r in sorted(sizes, key=lambda r: (r["words"], r["salt"])):
-        base.append((r["words"], r["salt"], total.get(r["words"], 0)))
-        total[r["words"]] = total.get(r["words"], 0) + r["count"]
+    spark = docs.sparkSession
+    total = {r["words"]: r["count"] for r in pieces.where("words > 0").groupBy("words").count().collect()}  # at most capacity rows
     runs: dict[int, list[tuple]] = {}
     for length, first, n, first_bin, per, offset in plan(total, capacity):
         runs.setdefault(length, []).append((first, n, first_bin, per, offset))
-    offsets = spark.createDataFrame(base, "words int, salt int, base long")
+    many = [(w, -(-n * w // words_a_salt)) for w, n in total.items() if n * w > words_a_salt]
+    salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in many for x in pair]), F.col("words")), F.lit(1)) if many else F.lit(1)
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
+    sizes = pieces.where("words > 0").groupBy("words", "salt").count()
+    before = W.partitionBy("words").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("words", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     by_run = spark.createDataFrame([(w, *r) for w, rs in runs.items() for r in rs], "words int, first long, n long, first_bin long, per long, offset int")
     w = W.partitionBy("words", "salt").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece")
     ranked = pieces.where("words > 0").withColumn("rank", F.row_number().over(w) - 1)
-    ranked = ranked.join(F.broadcast(offsets), ["words", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = ranked.join(offsets, ["words", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
     placed = ranked.join(F.broadcast(by_run), (ranked["words"] == by_run["words"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
     at = F.col("rank") - F.col("first")
     out = placed.select(
