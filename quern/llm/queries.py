@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chosen_path, html_text, language, mixing, neighbours, packing, paragraphs, perplexity, pii, url_rules
+from quern.llm import chosen_path, html_text, language, mixing, neighbours, packing, paragraphs, passages, perplexity, pii, url_rules
 from quern.llm.common import table
 
 
 def op2_repeated_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated_paragraphs(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return paragraphs.repeated_paragraphs(docs).unionByName(passages.repeated_passages(docs), allowMissingColumns=True)
 
 
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
