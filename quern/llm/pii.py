@@ -105,10 +105,16 @@ def shape(value: str) -> str:
     return re.sub(r"\w+", one, value)
 
 
-def _tokens(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, value, key) of the candidates in maximal runs of marked words."""
-    for start, end in spans:
+def _tokens(text: str, spans: list[tuple[int, int, bool]]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, value, key) of the candidates; a span that a validator knows is taken as it is."""
+    for start, end, known in spans:
         before = text[max(0, start - 40) : start]
+        if known:
+            named = _KEY.search(before)
+            yield start, end, text[start:end], named.group(1) if named else ""
+            continue
+        while end - start > 2 and text[start] == "(" and text[end - 1] == ")":
+            start, end = start + 1, end - 1
         while start < end and text[start] in _OPEN and not (text[start] == "(" and ")" in text[start:end]):
             start += 1
         while end > start and text[end - 1] in _CLOSE and not (text[end - 1] == ")" and "(" in text[start:end]):
@@ -129,29 +135,58 @@ def _tokens(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int,
 
 
 _WHOLE = re.compile(r"\S+")
-
-
-def _split(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """A run of marked words as one span where it reads as one phone number or card, else word by word."""
+_INSIDE = [
+    re.compile(rf"(?<![\w.%+\-])(?:{_EMAIL.pattern})(?![\w])"),
+    re.compile(rf"(?<![\w.])(?:{_IP.pattern})(?!\w|\.\d)"),
+    re.compile(rf"(?<![\w\-])(?:{_SSN.pattern})(?![\w\-])"),
+    re.compile(rf"(?<![\w+])(?=[+1(])(?:{_PHONE.pattern})(?!\w)"),
+    re.compile(rf"(?<!\w)(?:{_AWS.pattern})(?!\w)"),
+]
+_CARD = re.compile(r"(?<![\w+.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ \-])\d{6}\2\d{4,5})(?![\w])")
+_SPACED_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?:[ \-]?[A-Z0-9]){11,30}")
+
+
+def _valid(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Values inside text[start:end] that a validator knows, the longest first where they meet."""
+    found = [m.span() for form in _INSIDE for m in form.finditer(text, start, end)]
+    for m in _CARD.finditer(text, start, end):
+        a, b = m.span()
+        short = text[a : b - 4]  # of 4-4-4-4-3 the last group may be another number
+        found.append((a, b - 4) if m.group(1) and b - a == 23 and seed_kind(text[a:b], "") != "card" and seed_kind(short, "") == "card" else (a, b))
+    for m in _SPACED_IBAN.finditer(text, start, min(len(text), end + 44)):
+        a, b = m.span()
+        if a < end:
+            found += next(([(a, e)] for e in range(b, a + 14, -1) if not text[e : e + 1].isalnum() and seed_kind(text[a:e], "") == "iban"), [])
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found, key=lambda x: (x[0] - x[1], x)):
+        if all(b <= c or a >= d for c, d in out):
+            out.append((a, b))
+    return sorted(out)
+
+
+def _split(text: str, start: int, end: int) -> list[tuple[int, int, bool]]:
+    """A run of marked words as the values that validators know inside it, and word by word what is left."""
     parts = [(start + m.start(), start + m.end()) for m in _WHOLE.finditer(text[start:end])]
-    out, i = [], 0
-    while i < len(parts):
-        j = i
-        if len(parts) > 1:
-            for k in range(min(len(parts), i + 6), i + 1, -1):
-                whole = text[parts[i][0] : parts[k - 1][1]].strip("".join(set(_OPEN + _CLOSE)) .replace("(", "").replace(")", ""))
-                if re.fullmatch(r"\+?[\d() .\-]{9,24}", whole) and 9 <= sum(c.isdigit() for c in whole) <= 19:
-                    j = k - 1
-                    break
-        out.append((parts[i][0], parts[j][1]))
-        i = j + 1
-    return out
+    secret = [(a, b) for a, b in parts if (glued := _GLUED.match(text[a:b].lstrip(_OPEN))) and _SECRET_KEY.fullmatch(glued.group(1))]
+    known = [x for x in _valid(text, start, end) if all(x[1] <= a or x[0] >= b for a, b in secret)]
+    out = [(a, b, True) for a, b in known]
+    for a, b in parts:
+        at = a
+        for c, d in [*(x for x in known if x[0] < b and x[1] > a), (b, b)]:
+            if c > at and ((at, c) == (a, b) or re.search(r"[\d@]", text[at:c])):
+                out.append((at, c, False))
+            at = max(at, d)
+    return sorted(out)
 
 
 def candidates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, int, str, str, str, list[str]]]:
     """(start, end, value, key, seed kind, patterns), positions in characters."""
+    done = 0
     for a, b in runs:
-        for start, end, value, key in _tokens(text, _split(text, a, b)):
+        if b <= done:  # inside an identifier that went on behind its run
+            continue
+        for start, end, value, key in _tokens(text, _split(text, max(a, done), b)):
+            done = max(done, end)
             form = shape(value)
             left = re.findall(r"\S+", text[max(0, start - 60) : start])
             word = left[-1].lower()[-24:] if left else "^"
