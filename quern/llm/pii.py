@@ -3,8 +3,10 @@
 Candidates are runs of neighbouring words that hold a digit or an '@'.  A
 candidate has an instance (its text) and lexical patterns: its shape (letters,
 digits and punctuation as classes with lengths), its shape behind the word
-before it, and its shape behind a key such as ``password=``.  Seeds are the
-instances that a strict validator accepts.  Spark then scores the graph of
+before it, its shape behind a key such as ``password=``, and, from
+``MIN_CONTEXT_LENGTH`` letters and digits on, that word or key with nothing of
+the value but whether it holds letters, so that belief passes on to new shapes.
+Seeds are the instances that a strict validator accepts.  Spark then scores the graph of
 patterns and instances in turn: a pattern's confidence is the share of its
 instances' belief, discounted by its support; an instance's belief is what its
 best patterns give it (noisy or).  Patterns above ``min_confidence`` discover
@@ -39,6 +41,7 @@ ROUNDS = 3
 MIN_CONFIDENCE = 0.6
 MIN_SUPPORT = 3
 MIN_BELIEF = 0.5
+MIN_CONTEXT_LENGTH = 4
 MAX_BROADCAST_PATTERNS = 200_000
 
 _IS_MARK = np.zeros(256, dtype=bool)
@@ -193,6 +196,9 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, in
             marks = [f"s {form}", f"w {word} {form}"]
             if key:
                 marks.append(f"k {key.lower()} {form}")
+            if sum(c.isalnum() for c in value) >= MIN_CONTEXT_LENGTH:
+                coarse = "m" if any(c.isalpha() for c in value) else "n"
+                marks += [f"c {word} {coarse}"] * (word != "^") + [f"d {key.lower()} {coarse}"] * bool(key)
             yield start, end, value, key, seed_kind(value, key), marks
 
 

@@ -35,3 +35,12 @@ def test_both_paths_redact_them(spark, monkeypatch):
     assert pii.redact(d).first()["text"] == want
     monkeypatch.setattr(pii, "MAX_BROADCAST_PATTERNS", -1)
     assert pii.redact(d).first()["text"] == want
+
+
+def test_context_finds_unseen_shapes(spark):
+    seen = [(i, f"for help please call +1 (953) 555-{6000 + 7 * i} at noon", "en", "s", 1) for i in range(30)]
+    unseen = [(100, "please call 555-123-4567 at noon", "en", "s", 1), (101, "or call 017.555.7713 today", "en", "s", 1)]
+    clean = [(200 + i, f"in version {i} of 20{i:02d} there were 3 of 4.0 and we call 3 of them", "en", "s", 1) for i in range(20)]
+    rows = pii.find(docs(spark, seen + unseen + clean)).collect()
+    assert {(r["doc_id"], r["kind"]) for r in rows if r["how"] == "pattern"} == {(100, "phone"), (101, "phone")}
+    assert not {r["doc_id"] for r in rows} & {200 + i for i in range(20)}
