@@ -1,6 +1,8 @@
 """PII by bootstrapped contextual extraction (operator 8).
 
-Candidates are runs of neighbouring words that hold a digit or an '@'.  A
+Candidates are runs of neighbouring words that hold a digit or an '@', and what
+follows a key with '=' or ':' on its line (without a digit it has only the
+patterns of its key).  A
 candidate has an instance (its text) and lexical patterns: its shape (letters,
 digits and punctuation as classes with lengths), its shape behind the word
 before it, its shape behind a key such as ``password=``, and, from
@@ -193,17 +195,20 @@ def candidates(text: str, runs: list[tuple[int, int]]) -> Iterator[tuple[int, in
             form = shape(value)
             left = re.findall(r"\S+", text[max(0, start - 60) : start])
             word = left[-1].lower()[-24:] if left else "^"
-            marks = [f"s {form}", f"w {word} {form}"]
+            plain = not re.search(r"[\d@]", value)
+            if plain and not key:
+                continue
+            marks = [] if plain else [f"s {form}", f"w {word} {form}"]
             if key:
                 marks.append(f"k {key.lower()} {form}")
             if sum(c.isalnum() for c in value) >= MIN_CONTEXT_LENGTH:
                 coarse = "m" if any(c.isalpha() for c in value) else "n"
-                marks += [f"c {word} {coarse}"] * (word != "^") + [f"d {key.lower()} {coarse}"] * bool(key)
+                marks += [f"c {word} {coarse}"] * (word != "^" and not plain) + [f"d {key.lower()} {coarse}"] * bool(key)
             yield start, end, value, key, seed_kind(value, key), marks
 
 
 def _marked_runs(column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]], str]]:
-    """(row, runs, text) of the rows that hold a digit or '@'; runs are (start, end) in characters."""
+    """(row, runs, text) of the rows with a marked word: a digit, '@' or a key's sign in it, or a sign before it; runs are (start, end) in characters."""
     data, off = K.utf8_view(column)
     for lo, hi in K.chunks(off):
         part, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
@@ -211,7 +216,11 @@ def _marked_runs(column: pa.Array) -> Iterator[tuple[int, list[tuple[int, int]],
         if not len(start):
             continue
         marks = np.concatenate(([0], np.cumsum(_IS_MARK[part])))
-        hot = np.flatnonzero(marks[end] > marks[start])
+        sign = (part == 61) | (part == 58)
+        signs, lines = (np.concatenate(([0], np.cumsum(x))) for x in (sign, part == 10))
+        live = (marks[end] > marks[start]) | (signs[end - 1] > signs[start])  # the last sign has its value in the next word
+        live[1:] |= sign[end[:-1] - 1] & (row[1:] == row[:-1]) & (lines[start[1:]] == lines[end[:-1]])
+        hot = np.flatnonzero(live)
         if not len(hot):
             continue
         for r in np.unique(row[hot]):
@@ -255,7 +264,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, end, value, key, seed, patterns); positions in characters, ``end`` exclusive."""
-    own = small_batches(docs).select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where("text RLIKE '[0-9@]'")
+    own = small_batches(docs).select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where("text RLIKE '[0-9@=:]'")
     kind = own.schema["doc_id"].dataType.simpleString()
     return own.mapInArrow(_extract, f"doc_id {kind}, start long, end long, value string, key string, seed string, patterns array<string>")
 

@@ -44,3 +44,9 @@ def test_context_finds_unseen_shapes(spark):
     rows = pii.find(docs(spark, seen + unseen + clean)).collect()
     assert {(r["doc_id"], r["kind"]) for r in rows if r["how"] == "pattern"} == {(100, "phone"), (101, "phone")}
     assert not {r["doc_id"] for r in rows} & {200 + i for i in range(20)}
+
+
+def test_secrets_without_a_digit(spark):
+    d = docs(spark, [(1, "set password=correcthorse now", "en", "s", 1), (2, "the api_key: AbCdEfGhIjKl is", "en", "s", 1), (3, "see https://example.com/about: all is well", "en", "s", 1)])
+    assert [r["text"] for r in pii.redact(d).orderBy("doc_id").collect()] == ["set password=[SECRET] now", "the api_key: [SECRET] is", "see https://example.com/about: all is well"]
+    assert {(r["doc_id"], r["kind"], r["how"]) for r in pii.find(d).collect()} == {(1, "secret", "seed"), (2, "secret", "seed")}
