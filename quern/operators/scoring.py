@@ -1,4 +1,4 @@
-"""Scores, ladders and gates (SCR-01..17, SCR-25..29; ladders A5-A9) as column expressions."""
+"""Scores, ladders and gates (SCR-01..17, SCR-25..27, SCR-29; ladders A5-A9) as column expressions."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""First-of-key, quotas and fair ordering (WN-01..11, TK-01..09), without collecting."""
+"""First-of-key, quotas and fair ordering (WN-01..11, TK-01..05, TK-07..09), without collecting."""
 
 from __future__ import annotations
 

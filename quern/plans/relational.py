@@ -248,7 +248,7 @@ def key_price_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT MAX(ts) AS now FROM events) SELECT event_id, user_id, ts FROM events, m WHERE ts >= now - INTERVAL 7 DAY AND event_type IN ('purchase', 'signup') ORDER BY ts, event_id LIMIT 100""")
 def recency_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-08, FIL-09, FIL-10, TK-05, TK-06: recent rows of enabled kinds, first in first out."""
+    """FIL-08, FIL-09, FIL-10, TK-05: recent rows of enabled kinds, first in first out."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     now = e.agg(F.max("ts").alias("now"))
     recent = e.join(F.broadcast(now), F.col("ts") >= F.col("now") - F.expr("INTERVAL 7 DAYS")).where(F.col("event_type").isin("purchase", "signup"))
@@ -258,7 +258,7 @@ def recency_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH d AS (SELECT doc_id, lower(text) AS t, n_chars, lang FROM documents), l AS (SELECT * FROM labels)
 SELECT doc_id, CASE WHEN coalesce(toxic, 0) = 1 THEN 'DUPLICATE' WHEN contains(t, 'license') THEN 'HARD_FILTER' WHEN contains(' ' || t || ' ', ' token ') THEN 'WANTED' WHEN n_chars IS NULL OR n_chars = 0 THEN 'NO_PRICE' WHEN n_chars < 300 OR n_chars > 9000 THEN 'PRICE_RANGE' ELSE '' END AS skip FROM d LEFT JOIN l USING (doc_id)""")
 def prefilter_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-03..07, FIL-11..14: first matching reason of the pre-filter."""
+    """FIL-06, FIL-11..14: first matching reason of the pre-filter, with stand-ins for its predicates."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"), "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     reason = (F.when(F.coalesce("toxic", F.lit(0)) == 1, "DUPLICATE").when(F.col("t").contains("license"), "HARD_FILTER").when(F.concat(F.lit(" "), "t", F.lit(" ")).contains(" token "), "WANTED")
               .when(F.coalesce("n_chars", F.lit(0)) == 0, "NO_PRICE").when(~F.col("n_chars").between(300, 9000), "PRICE_RANGE").otherwise(""))

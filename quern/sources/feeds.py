@@ -1,4 +1,4 @@
-"""Readers of feeds, pages and files (SRC-01..29, SUP-01..04) as DataFrames.
+"""Readers of feeds, pages and files (SRC-01..29, SUP-01..03) as DataFrames.
 
 Files come in as (path, content) rows of ``binaryFile`` or as XML/CSV/JSON
 sources; parsing is column expressions, with one table function for HTML cards.
