@@ -79,13 +79,42 @@ def test_counts_equal_brute_force(spark):
     assert got == dict(want)
 
 
-def test_broadcast_and_join_agree(spark):
+def test_built_model_equals_numpy(spark):
+    rows = [(1, "abracadabra abba", "en", "s", 5), (2, "cadabra abra", "en", "s", 2), (3, "un deux trois", "fr", "s", 1)]
+    counts = perplexity.count_ngrams(docs(spark, rows), order=3)
+    got = {(r["lang"], r["level"], r["context"], r["key"]): r["value"] for r in perplexity.build(counts, 3).collect()}
+    want = {}
+    for lang in ("en", "fr"):
+        mine = sorted((r["gram"], r["n"]) for r in counts.collect() if r["lang"] == lang)
+        levels = perplexity.kneser_ney(np.array([g for g, _ in mine], np.uint64), np.array([n for _, n in mine]), 3)
+        for n, (g, v, c, w) in enumerate(levels, 1):
+            want |= {(lang, n, False, int(k)): x for k, x in zip(g, v, strict=True)} | {(lang, n, True, int(k)): x for k, x in zip(c, w, strict=True)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_broadcast_and_place_agree_on_unseen_text(spark):
     d = docs(spark)
-    small = perplexity.Model(d).score(d, "B", "W").select("doc_id", "B", "W").toPandas()
-    big = perplexity.Model(d, max_model_bytes=0).score(d, "B", "W").select("doc_id", "B", "W").toPandas()
+    unseen = d.unionByName(docs(spark, [(20, "zebra crossing quilts", "en", "s", 3), (21, "never counted", "yy", "s", 3)]))
+    small = perplexity.Model(d).score(unseen, "B", "W").select("doc_id", "B", "W").toPandas()
+    big = perplexity.Model(d, max_model_bytes=0).score(unseen, "B", "W").select("doc_id", "B", "W").toPandas()
     key = ["W", "B"]
     a, b = (x.sort_values(key, ignore_index=True)[key].to_numpy() for x in (small, big))
-    assert np.allclose(a, b, rtol=1e-4)
+    assert len(a) == len(b) == 13 and (a == b).all()
+
+
+def test_words_of_unsegmented_scripts():
+    import pyarrow as pa
+
+    texts = ["two words", "漢字かな", "a漢b 字", "", " \n", "สวัสดี 12", "\U00020000x", "é ü"]
+    data, off = K.utf8_view(pa.array(texts))
+    assert perplexity.word_counts(data, off).tolist() == [2, 4, 3, 0, 0, 7, 2, 2]
+
+
+def test_unsegmented_text_is_judged_by_its_characters(spark):
+    zh = "的一是不了人我在有他这中大来上国个到说们"
+    rows = [(i, "".join(zh[(i * 7 + j * j) % 20] for j in range(60)), "zh", "s", 60) for i in range(60)]
+    kept = perplexity.quality_filter(docs(spark, rows), labels(spark, [(i, 1, 0) for i in range(50)]))
+    assert kept.count() >= 58
 
 
 def test_quality_edges(spark):
@@ -129,6 +158,22 @@ def test_language_vectors_equal_brute_force():
         assert (row == want).all()
 
 
+def test_ties_go_to_the_first_language(spark):
+    d = docs(spark, [(1, "abc abd", "b", "s", 7), (2, "abc abd", "a", "s", 7)])
+    assert {r["language"] for r in language.language_id(d).collect()} == {"a"}
+
+
+def test_prototypes_take_the_least_hashes(spark):
+    """The bound on the hash loses none of the documents that ranking all would take."""
+    d = docs(spark, [(i, f"word{i} text", "en" if i % 3 else "de", "s", 7) for i in range(900)], extra=False)
+    some, every = language.prototypes(d, max_docs_per_lang=20), language.prototypes(d)
+    assert list(some) == ["de", "en"] == list(every)
+    from pyspark.sql import functions as F
+
+    least = d.where("lang = 'de'").withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).orderBy("h").limit(20)
+    assert np.allclose(language.prototypes(least)["de"], some["de"], atol=1e-5)
+
+
 def test_language_edges(spark):
     rows = language.language_id(docs(spark)).collect()
     assert len(rows) == 11 and sum(r["language"] is None for r in rows) == 4
