@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,6 +27,17 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def numbered(df: DataFrame, wanted: str, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with a long ``name`` for its id ``wanted``, and (name, wanted) to go back, None where the id is an integer itself.
+
+    Other ids are numbered in their order, so the least id has the least number.
+    """
+    if df.schema[wanted].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return df.withColumn(name, col(wanted).cast("long")), None
+    names = cut(df.select(col(wanted)).where(col(wanted).isNotNull()).distinct().orderBy(col(wanted)).withColumn(name, F.monotonically_increasing_id()))
+    return df.join(names, wanted, "left"), names
+
+
 def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """``df``, with at most ``rows`` rows in an Arrow batch of its session.
 
