@@ -7,7 +7,9 @@ child named by (node, position, minwise value).  A pair of similarity J thus
 stays together at a branch with chance 1 - (1 - J)**2.  Nodes of at most
 ``leaf`` documents are compared exhaustively; larger ones branch again, up to
 ``depth`` times, and what is then still together is compared exhaustively too.
-Independent trees are repeated until the target recall is reached.
+As many independent trees are grown as ``trees_for`` finds enough for the target
+recall of pairs at the similarity sought: a pair of J is together after n
+branchings with chance p(n) = 1 - (1 - J p(n - 1))**2, p(0) = 1.
 
 Inside a node comparisons run breadth first over what is not yet reached, which
 gives the connections of all pairs and, in a node of near copies, costs one
@@ -20,14 +22,16 @@ for nodes of two or more.  Node sizes come from a partial aggregation, so a
 phrase that half the corpus shares is one counter, and such a node branches
 until it is small.  Comparison tasks stream nodes in order.
 
-Defined cases: NULL, empty and wordless texts and rows without an id match
-nothing and stay; fewer than three words count as one shingle; rows that repeat
-an id count as copies (one stays); ties go to the least id; an empty table
-gives an empty result.  Other columns are kept by ``deduplicate``.
+Defined cases: NULL and empty texts, texts of nothing but white space and rows
+without an id match nothing and stay; other texts without a word match their
+exact copies; fewer than three words count as one shingle; rows that repeat an
+id count as copies (one stays); ties go to the least id; ids keep their type; an
+empty table gives an empty result.  Other columns are kept by ``deduplicate``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,18 +41,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.llm import kernels as K
-from quern.llm.common import col, free_name, small_batches
+from quern.llm.common import col, free_name, numbered, small_batches
 from quern.operators.components import connected_components
 from quern.session import cut
 
 SHINGLE = 3
 SIZE = 128
 SIMILAR = 0.5
-TREES = 6
+RECALL = 0.98
+LEVELS = 3  # branchings that a node of a large corpus goes through before it is a leaf, for the number of trees
 LEAF = 64
 DEPTH = 8
 SEED = 20260
 
+def trees_for(recall: float = RECALL, similar: float = SIMILAR, levels: int = LEVELS) -> int:
+    """Trees that keep a pair of that similarity together in one of them with chance ``recall``."""
+    p = 1.0
+    for _ in range(levels):
+        p = 1 - (1 - similar * p) ** 2
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))) if p < 1 else 1
+
+
 _SKETCH_SCHEMA = "id long, content long, minima binary, sketch binary"
 
 
@@ -65,10 +78,15 @@ def _sketches(shingle: int, seed: int):
                 count = np.bincount(row, minlength=hi - lo)
                 at = np.arange(len(row)) - (np.cumsum(count) - count)[row]
                 content = np.zeros(hi - lo, np.uint64)
-                live = np.flatnonzero(count)
-                if len(live):
+                worded = np.flatnonzero(count)
+                if len(worded):
                     mixed = K.mix64(word + K.mix64(at.astype(np.uint64) + np.uint64(1)))
-                    content[live] = K.mix64(np.add.reduceat(mixed, (np.cumsum(count) - count)[live]))
+                    content[worded] = K.mix64(np.add.reduceat(mixed, (np.cumsum(count) - count)[worded]))
+                seen = np.zeros(len(part) + 1, np.int64)
+                np.cumsum(~K.IS_SPACE[part], out=seen[1:])
+                signs = np.flatnonzero((count == 0) & (seen[o[1:]] > seen[o[:-1]]))
+                content[signs] = K.mix64(K.span_hashes(part, o[signs], o[signs + 1]) + np.uint64(1))
+                live = np.flatnonzero((count > 0) | (seen[o[1:]] > seen[o[:-1]]))
                 rows = pa.array(lo + live)
                 small = (minima[live] & np.uint32(0xFF)).astype(np.uint8)
                 pack = lambda m: pa.FixedSizeBinaryArray.from_buffers(pa.binary(m.shape[1] * m.itemsize), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
@@ -78,7 +96,7 @@ def _sketches(shingle: int, seed: int):
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(id, content, minima, sketch) of every document with an id and a word."""
+    """(id, content, minima, sketch) of every document with an id and anything but white space; a document without a word has no minima but 2**32 - 1."""
     own = small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("id"), F.lower(col(text).cast("string")).alias("text"))
     return own.mapInArrow(_sketches(shingle, seed), _SKETCH_SCHEMA)
 
@@ -200,8 +218,9 @@ def _compare(similar: float):
     return run
 
 
-def near_edges(points: DataFrame, similar: float = SIMILAR, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
+def near_edges(points: DataFrame, similar: float = SIMILAR, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH, seed: int = SEED) -> DataFrame:
     """(a, b): edges between near-duplicates of ``points`` (id, minima, sketch), over all trees."""
+    trees = trees_for(recall, similar)
     rows = points.select("id", "minima").mapInArrow(_first_level(_roots(trees, seed)), "node long, id long")
     done = []
     for level in range(1, depth + 1):
@@ -222,15 +241,22 @@ def near_edges(points: DataFrame, similar: float = SIMILAR, trees: int = TREES,
     return ready.mapInArrow(_compare(similar), "a long, b long").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, trees: int = TREES, leaf: int = LEAF, depth: int = DEPTH, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, group_id): every document of a group of two or more; the group is named by its least id."""
-    all_sketches = cut(sketches(docs, doc_id, text, shingle, seed))
+    own, names = numbered(docs.where(col(doc_id).isNotNull()).select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")), "doc_id", "id")
+    all_sketches = cut(sketches(own, "id", "text", shingle, seed))
     copies = all_sketches.groupBy("content").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     alike = all_sketches.select("id", "content").join(copies.where("n > 1"), "content").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    points = all_sketches.join(copies.select(F.col("content").alias("_c"), F.col("first").alias("_f")), (F.col("content") == F.col("_c")) & (F.col("id") == F.col("_f"))).dropDuplicates(["id"])
+    nothing = F.lit(b"\xff" * (4 * SIZE))
+    points = all_sketches.where(F.col("minima") != nothing).join(copies.select(F.col("content").alias("_c"), F.col("first").alias("_f")), (F.col("content") == F.col("_c")) & (F.col("id") == F.col("_f"))).dropDuplicates(["id"])
     points = cut(points.select("id", "minima", "sketch"))
-    edges = near_edges(points, similar, trees, leaf, depth, seed).unionByName(alike)
-    return connected_components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"))
+    edges = near_edges(points, similar, recall, leaf, depth, seed).unionByName(alike)
+    groups = connected_components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"))
+    if names is None:
+        kind = docs.schema[doc_id].dataType.simpleString()
+        return groups.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("group_id").cast(kind).alias("group_id"))
+    back = lambda a, b: names.select(F.col("id").alias(a), F.col("doc_id").alias(b))
+    return groups.join(back("doc_id", "_own"), "doc_id").join(back("group_id", "_head"), "group_id").select(F.col("_own").alias("doc_id"), F.col("_head").alias("group_id"))
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

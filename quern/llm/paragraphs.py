@@ -1,23 +1,28 @@
 """Substring dedup by paragraph MinHash banding (operator 2).
 
-Paragraphs are lines of at least ``min_words`` words; equal ones share a content
-hash.  Minwise values of their word triples form ``bands`` x ``rows`` keys, so
-that paragraphs of similarity J collide with chance 1 - (1 - J**rows)**bands
-(0.967 at 0.6 and 0.997 at 0.7 as set).  Colliding paragraphs are compared by
-the exact Jaccard similarity of their triples, breadth first within a bucket,
-which connects what a comparison of all pairs would connect.  Connected
-components are the clusters; the first occurrence stays, the others go.
+A paragraph is a line of at least ``min_words`` words, or all the shorter lines
+between two such, so every word of a text lies in one; under ``min_words`` words
+it is too little to be a passage (what stands in it is compared all the same,
+across its lines, by ``passages``).  Equal paragraphs share a content hash.
+Minwise values of their word triples form ``bands`` x ``rows`` keys, so that
+paragraphs of similarity J collide with chance 1 - (1 - J**rows)**bands (0.967
+at 0.6 and 0.997 at 0.7 as set).  Colliding paragraphs are compared by the exact
+Jaccard similarity of their triples, breadth first within a bucket, which
+connects what a comparison of all pairs would connect.  Connected components are
+the clusters; the first occurrence stays, the others go.
 
 Scale.  Band keys move as 16 bytes each, in one shuffle; buckets with the same
 members count once, so a near copy that collides in every band is compared
 once.  Triples are taken again from the text for colliding paragraphs only:
 their hashes go to the scan as a broadcast array while they number at most
-``MAX_BROADCAST_HASHES``, beyond it the triples are joined by shuffle.
+``MAX_BROADCAST_HASHES``, beyond it the triples are joined by shuffle.  A bucket
+of more than ``BUCKET`` members (a template's) is cut into parts, and each two
+parts are compared in a place of their own, so no task holds it whole.
 
 Defined cases: NULL and empty texts and rows without an id have no paragraph;
 an id's repeated rows count as repeats of each other; ties go to the least
-(doc_id, paragraph); very long texts are used whole; an empty table gives no
-row; other columns are left out.
+(doc_id, paragraph); ids keep their type; very long texts are used whole; an
+empty table gives no row; other columns are left out.
 """
 
 from __future__ import annotations
@@ -30,27 +35,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col, small_batches
+from quern.llm.common import col, numbered, small_batches
 from quern.operators.components import connected_components
 from quern.session import cut
 
-MIN_WORDS = 40
+MIN_WORDS = 20
 SHINGLE = 3
 SIMILAR = 0.6
 BANDS = 14
 ROWS = 3
 SEED = 977
+BUCKET = 4096
 MAX_BROADCAST_HASHES = 8_000_000
 
 
 def _paragraphs(part: np.ndarray, offsets: np.ndarray, min_words: int):
-    """(document row, number within it, words, word hashes, owner of each word) of the long enough lines."""
+    """(document row, number of the first line, words, word hashes, owner of each word) of the paragraphs with enough words."""
     breaks = np.flatnonzero(part == 10) + 1
     edges = np.union1d(offsets, breaks)
     doc = np.searchsorted(offsets, edges[:-1], side="right") - 1
     first = np.searchsorted(doc, np.arange(len(offsets) - 1))
     number = np.arange(len(doc)) - first[doc]
     start, end, row = K.words(part, edges)
+    long = np.bincount(row, minlength=len(doc)) >= min_words
+    head = long | (number == 0)
+    head[1:] |= long[:-1]
+    owner = np.cumsum(head) - 1  # lines that don't begin a paragraph go on with the one before
+    doc, number, row = doc[head], number[head], owner[row]
     count = np.bincount(row, minlength=len(doc))
     keep = count >= min_words
     word = K.span_hashes(part, start, end)
@@ -228,12 +239,25 @@ def _verify(similar: float):
     return run
 
 
-def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def _parts(buckets: DataFrame, most: int) -> DataFrame:
+    """(bucket, content): buckets above ``most`` members as all pairs of parts of about that many."""
+    big = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most).select("bucket", F.ceil(F.col("n") / most).alias("parts"))
+    marked = buckets.join(big, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine = F.pmod(F.xxhash64("content"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    split = marked.select("bucket", "content", "parts", mine.alias("mine"), other.alias("other"))
+    name = F.when(F.col("parts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
+    return split.select(name.alias("bucket"), "content")
+
+
+def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, paragraph, words, cluster_doc, cluster_paragraph, removed): every occurrence of a repeated paragraph.
 
-    A cluster is named by its first occurrence, which alone isn't removed.
+    ``paragraph`` is the number of its first line.  A cluster is named by its first
+    occurrence, which alone isn't removed.
     """
-    own = small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), F.lower(col(text).cast("string")).alias("text"))
+    own, names = numbered(small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).alias("doc_id"), F.lower(col(text).cast("string")).alias("text")), "doc_id", "id")
+    own = own.select("id", "text")
     keys = own.mapInArrow(_band_keys(min_words, shingle, bands, rows, seed), "key long, content long")
     buckets = cut(keys.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_runs, "bucket long, content long").distinct())
     colliding = buckets.select("content").distinct()
@@ -245,7 +269,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     triples = own.mapInArrow(_triples(min_words, shingle, wanted), "content long, triples binary")
     triples = triples.join(colliding, "content", "left_semi") if not few else triples
     triples = triples.dropDuplicates(["content"])
-    ready = buckets.join(triples, "content").select("bucket", "content", "triples").repartition("bucket").sortWithinPartitions("bucket", "content")
+    ready = _parts(buckets, bucket).join(triples, "content").select("bucket", "content", "triples").repartition("bucket").sortWithinPartitions("bucket", "content")
     edges = ready.mapInArrow(_verify(similar), "a long, b long").distinct()
     clusters = connected_components(edges).select(F.col("id").alias("content"), "component")
     found = own.mapInArrow(_occurrences(min_words), "content long, doc_id long, paragraph int, words int")
@@ -255,4 +279,17 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     named = named.join(heads, "component").select("content", "head")
     out = found.join(named, "content")
     at = F.struct("doc_id", "paragraph")
-    return out.select("doc_id", "paragraph", "words", F.col("head.doc_id").alias("cluster_doc"), F.col("head.paragraph").alias("cluster_paragraph"), (at != F.col("head")).alias("removed"))
+    out = out.select("doc_id", "paragraph", "words", F.col("head.doc_id").alias("cluster_doc"), F.col("head.paragraph").alias("cluster_paragraph"), (at != F.col("head")).alias("removed"))
+    return named_again(out, names, docs.schema[doc_id].dataType.simpleString())
+
+
+def named_again(out: DataFrame, names: DataFrame | None, kind: str) -> DataFrame:
+    """``out`` with the ids behind the numbers in doc_id and cluster_doc."""
+    for c in ("doc_id", "cluster_doc"):
+        if names is None:
+            out = out.withColumn(c, F.col(c).cast(kind))
+        else:
+            columns = out.columns
+            back = names.select(F.col("id").alias("_number"), F.col("doc_id").alias("_name"))
+            out = out.join(back, out[c] == back["_number"]).drop("_number", c).withColumnRenamed("_name", c).select(*columns)
+    return out

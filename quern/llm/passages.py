@@ -29,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col, small_batches
-from quern.llm.paragraphs import MIN_WORDS
+from quern.llm.common import col, numbered, small_batches
+from quern.llm.paragraphs import named_again
 from quern.session import cut
 
+MIN_WORDS = 40
 SPREAD = 10
 MAX_BROADCAST_SEEDS = 8_000_000
 FILTER_BITS = 1 << 24
@@ -202,7 +203,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     on in ``cluster_doc``, the first text that has them; paragraphs are the lines where
     both begin.  A row that is its own first occurrence isn't removed.
     """
-    own = small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("doc_id"), F.lower(col(text).cast("string")).alias("text"))
+    own, names = numbered(small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).alias("doc_id"), F.lower(col(text).cast("string")).alias("text")), "doc_id", "id")
+    own = own.select(F.col("id").alias("doc_id"), "text")
     seeds = own.mapInArrow(_seeds(min_words), "seed long, doc_id long")
     shared = cut(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
     schema = "window long, doc_id long, place long"
@@ -214,4 +216,5 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         windows = own.join(lists, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_windows(min_words, None), schema)
     heads = windows.repartition("window").sortWithinPartitions("window", "doc_id", "place").mapInArrow(_heads, "doc_id long, head long, shift long, place long, head_place long")
     ready = heads.repartition("doc_id").sortWithinPartitions("doc_id", "head", "shift", "place")
-    return ready.mapInArrow(_spans(min_words), "doc_id long, paragraph int, words int, cluster_doc long, cluster_paragraph int, removed boolean, first_word int, cluster_first_word int")
+    out = ready.mapInArrow(_spans(min_words), "doc_id long, paragraph int, words int, cluster_doc long, cluster_paragraph int, removed boolean, first_word int, cluster_first_word int")
+    return named_again(out, names, docs.schema[doc_id].dataType.simpleString())

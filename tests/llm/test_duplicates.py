@@ -81,6 +81,16 @@ def test_repeated_id_alone_stays_once(spark):
     assert sorted(r["doc_id"] for r in chosen_path.deduplicate(docs(spark, rows)).collect()) == [1, 2]
 
 
+def test_exact_copies_without_a_word(spark):
+    rows = [(1, "!!! ???", "en", "s", 1), (2, "!!! ???", "en", "s", 1), (3, "!!!", "en", "s", 1), (4, " ", "en", "s", 1), (5, " ", "en", "s", 1)]
+    assert {(r["doc_id"], r["group_id"]) for r in chosen_path.near_duplicate_groups(docs(spark, rows)).collect()} == {(1, 1), (2, 1)}
+
+
+def test_trees_follow_the_recall():
+    assert chosen_path.trees_for(0.98, 0.5, 3) == 6 and chosen_path.trees_for(0.5, 0.9, 1) == 1
+    assert chosen_path.trees_for(0.999) > chosen_path.trees_for(0.9)
+
+
 def test_compare_runs_equals_all_pairs():
     rng = np.random.default_rng(0)
     n = 40
@@ -105,17 +115,44 @@ def test_compare_runs_equals_all_pairs():
     assert all((p[i] == p[j]) == (q[i] == q[j]) for i in range(n) for j in range(n))
 
 
+def brute_paragraphs(text, least):
+    """(number of the first line, text): long lines alone, shorter ones between them together."""
+    out, after_long = [], True
+    for i, line in enumerate((text or "").split("\n")):
+        long = len(WORD.findall(line.lower())) >= least
+        if long or after_long:
+            out.append([i, line])
+        else:
+            out[-1][1] += "\n" + line
+        after_long = long
+    return [(i, t) for i, t in out if len(WORD.findall(t.lower())) >= least]
+
+
 def test_paragraphs_equal_brute_force(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
-    rows = [(r["doc_id"], i, p) for r in d.collect() for i, p in enumerate((r["text"] or "").split("\n")) if len(WORD.findall(p.lower())) >= paragraphs.MIN_WORDS]
+    rows = [(r["doc_id"], i, p) for r in d.collect() for i, p in brute_paragraphs(r["text"], paragraphs.MIN_WORDS)]
     want, _ = brute_groups([((a, b), p) for a, b, p in rows], paragraphs.SIMILAR)
     size = {}
     for g in want.values():
         size[g] = size.get(g, 0) + 1
     want = {k: g for k, g in want.items() if size[g] > 1}
-    got = {(r["doc_id"], r["paragraph"]): (r["cluster_doc"], r["cluster_paragraph"]) for r in paragraphs.repeated_paragraphs(d).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
-    assert sum(want[k] == g for k, g in got.items()) >= 0.97 * len(got)
+    for most in (paragraphs.BUCKET, 2):  # buckets cut into parts connect the same
+        got = {(r["doc_id"], r["paragraph"]): (r["cluster_doc"], r["cluster_paragraph"]) for r in paragraphs.repeated_paragraphs(d, bucket=most).collect()}
+        assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
+        assert sum(want[k] == g for k, g in got.items()) >= 0.97 * len(got)
+
+
+def test_ids_that_are_no_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from quern.llm import passages
+
+    block = " ".join(f"w{i}" for i in range(60))
+    d = docs(spark, [(1, block, "en", "s", 1), (12, "head\n" + block, "en", "s", 1), (3, "other", "en", "s", 1)]).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    for found in (paragraphs.repeated_paragraphs(d), passages.repeated_passages(d)):
+        assert {(r["doc_id"], r["cluster_doc"], r["removed"]) for r in found.collect()} == {("d1", "d1", False), ("d12", "d1", True)}
+    assert {(r["doc_id"], r["group_id"]) for r in chosen_path.near_duplicate_groups(d).collect()} == {("d1", "d1"), ("d12", "d1")}
+    assert sorted(r["doc_id"] for r in chosen_path.deduplicate(d).collect()) == ["d1", "d3"]
 
 
 def test_paragraph_edges(spark):
