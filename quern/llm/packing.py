@@ -8,11 +8,13 @@ first, go into the fullest bin that still has room.  The plan is a list of runs
 "the next n pieces of length L go into bins b.. at offset o"; pieces get their
 rank among equals and look up their run.
 
-Scale.  Ranks come from a window over (length, salt) plus offsets from the
-counts; a length has as many salts as its count asks for, so that the pieces of
-one length, such as full ones, are never one partition's burden.  Text moves
-once; the offsets join where the window already lies.  The plan's runs are
-bounded by the capacity, not by the data, and only they are broadcast.
+Scale.  Texts are cut twice: for the lengths alone, which are written as a narrow
+table that all counts come from, and for the pieces that move.  Ranks come from
+a window over (length, salt) plus offsets from the counts; a length has as many
+salts as its count asks for, so that the pieces of one length, such as full
+ones, are never one partition's burden.  Text moves once; the offsets join where
+the window already lies.  The plan's runs are bounded by the capacity, not by
+the data, and only they are broadcast.
 
 Defined cases: a text longer than the capacity is cut at word starts into full
 pieces and a rest, whose concatenation is the text; NULL, empty and blank texts
@@ -34,6 +36,7 @@ from pyspark.sql import Window as W
 
 from quern.llm import kernels as K
 from quern.llm.common import col, small_batches
+from quern.session import cut
 
 CAPACITY = 2048
 WORDS_A_SALT = 500_000
@@ -117,8 +120,8 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return runs
 
 
-def _pieces(capacity: int):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(capacity: int, texts: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.utf8_view(batch.column(1))
             for lo, hi in K.chunks(off, 4 * K.CHUNK_BYTES):
@@ -129,6 +132,10 @@ def _pieces(capacity: int):
                 doc = np.repeat(np.arange(hi - lo), many)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
                 length = np.minimum(n[doc] - piece * capacity, capacity)
+                own = [batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(length.astype(np.int32))]
+                if not texts:
+                    yield pa.RecordBatch.from_arrays(own, ["doc_id", "piece", "words"])
+                    continue
                 if len(doc) == hi - lo:  # nothing to cut
                     text = batch.column(1).slice(lo, hi - lo)
                 else:
@@ -136,37 +143,36 @@ def _pieces(capacity: int):
                     begin = np.where(piece == 0, o[doc], start[np.minimum(first_word[doc] + piece * capacity, max(len(start) - 1, 0))] if len(start) else 0)
                     edges = np.append(begin, o[-1])
                     text = pa.Array.from_buffers(pa.large_string(), len(doc), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(part))]).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(length.astype(np.int32)), text], ["doc_id", "piece", "words", "text"])
+                yield pa.RecordBatch.from_arrays([*own, text], ["doc_id", "piece", "words", "text"])
 
-    return cut
+    return run
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", words_a_salt: int = WORDS_A_SALT) -> DataFrame:
     """(bin_id, bin_offset, doc_id, piece, words, text): one row a piece; offsets and lengths in words."""
     own = small_batches(docs).select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    pieces = own.mapInArrow(_pieces(capacity), f"doc_id {kind}, piece int, words int, text string")
+    lengths = cut(own.mapInArrow(_pieces(capacity, False), f"doc_id {kind}, piece int, words int"))
+    pieces = own.mapInArrow(_pieces(capacity, True), f"doc_id {kind}, piece int, words int, text string")
     spark = docs.sparkSession
-    total = {r["words"]: r["count"] for r in pieces.where("words > 0").groupBy("words").count().collect()}  # at most capacity rows
+    total = {r["words"]: r["count"] for r in lengths.groupBy("words").count().collect()}  # at most capacity rows
     runs: dict[int, list[tuple]] = {}
     for length, first, n, first_bin, per, offset in plan(total, capacity):
         runs.setdefault(length, []).append((first, n, first_bin, per, offset))
-    many = [(w, -(-n * w // words_a_salt)) for w, n in total.items() if n * w > words_a_salt]
+    many = [(w, -(-n * max(w, 1) // words_a_salt)) for w, n in total.items() if n * max(w, 1) > words_a_salt]
     salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in many for x in pair]), F.col("words")), F.lit(1)) if many else F.lit(1)
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
-    sizes = pieces.where("words > 0").groupBy("words", "salt").count()
+    salt = F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int")
+    sizes = lengths.withColumn("salt", salt).groupBy("words", "salt").count()
     before = W.partitionBy("words").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("words", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    by_run = spark.createDataFrame([(w, *r) for w, rs in runs.items() for r in rs], "words int, first long, n long, first_bin long, per long, offset int")
+    by_run = spark.createDataFrame([(w, *r) for w, rs in runs.items() for r in rs], "of int, first long, n long, first_bin long, per long, offset int")
     w = W.partitionBy("words", "salt").orderBy(F.xxhash64("doc_id", "piece"), "doc_id", "piece")
-    ranked = pieces.where("words > 0").withColumn("rank", F.row_number().over(w) - 1)
+    ranked = pieces.withColumn("salt", salt).withColumn("rank", F.row_number().over(w) - 1)
     ranked = ranked.join(offsets, ["words", "salt"]).withColumn("rank", F.col("rank") + F.col("base"))
-    placed = ranked.join(F.broadcast(by_run), (ranked["words"] == by_run["words"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")))
+    placed = ranked.join(F.broadcast(by_run), (F.col("words") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n")), "left")  # blank texts have no run
     at = F.col("rank") - F.col("first")
-    out = placed.select(
+    return placed.select(
         (F.col("first_bin") + F.floor(at / F.col("per"))).cast("long").alias("bin_id"),
-        (F.col("offset") + ranked["words"] * F.pmod(at, F.col("per"))).cast("int").alias("bin_offset"),
-        "doc_id", "piece", ranked["words"].alias("words"), "text",
+        (F.col("offset") + F.col("words") * F.pmod(at, F.col("per"))).cast("int").alias("bin_offset"),
+        "doc_id", "piece", "words", "text",
     )
-    blank = pieces.where("words = 0").select(F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("bin_offset"), "doc_id", "piece", "words", "text")
-    return out.unionByName(blank)

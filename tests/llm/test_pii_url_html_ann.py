@@ -73,6 +73,22 @@ def test_rules_equal_brute_force(spark, partitions):
         assert r["n_rules"] == len({k for _, k, _ in keyed if r["url_key"].startswith(k)})
 
 
+def test_a_hot_url_is_spread(spark):
+    rows = [(i, "https://hot.com/a") for i in range(900)] + [(1000 + i, f"https://h{i}.com/a" + "x" * (100_000 * (i == 0))) for i in range(100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    table = url_rules.rule_table(spark, [(1, "com", "block"), (2, "hot.com/a", "allow"), (3, "h7.com", "allow"), (4, "hot.com", None)])
+    out = url_rules.apply_rules(pages, table, partitions=10)
+    got = out.withColumn("p", F.spark_partition_id()).collect()
+    assert len(got) == 1000 and len({r["p"] for r in got if r["page_id"] < 1000}) >= 7
+    assert all((r["rule_id"], r["n_rules"]) == ((2, 3) if r["page_id"] < 1000 else (3, 2) if r["page_id"] == 1007 else (1, 1)) for r in got)
+    assert url_rules.apply_rules(pages, table.where("rule_id = 4"), partitions=3).where("rule_id = 4 AND action IS NULL").count() == 900
+
+
+def test_range_bounds():
+    assert url_rules.range_bounds([("a", 1), ("b", 6), ("c", 1)], 4) == ["b", "b", "b"]
+    assert url_rules.range_bounds([], 4) == [] and url_rules.range_bounds([("a", 1)], 1) == []
+
+
 def test_rule_edges(spark):
     pages = spark.createDataFrame([(1, "https://a.com/x")], "page_id long, url string")
     none = spark.createDataFrame([], "rule_id long, pattern string, action string")
@@ -108,6 +124,7 @@ def test_html_edges(spark):
     got = {r["page_id"]: r for r in html_text.extract(pages, html_text.DEFAULT_SCORES).collect()}
     assert got[1]["text"] is None and got[2]["words"] == 0 and got[5]["words"] == 100_000
     assert "no" not in (got[3]["text"] or "").split() and len(got) == 6
+    assert html_text.extract(pages.unionByName(pages), html_text.DEFAULT_SCORES).count() == 12
     assert html_text.extract(pages.limit(0), html_text.DEFAULT_SCORES).collect() == []
     assert html_text.fit(pages.limit(0)) == html_text.DEFAULT_SCORES
 
@@ -130,6 +147,23 @@ def test_neighbours_recall(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_neighbours_of_clusters_in_many_places(spark):
+    """Small places, a cluster larger than a place, and ids that are no numbers; against brute force."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16)) * 4
+    x = (centres[np.concatenate((np.arange(600) % 20, np.zeros(400, int)))] + rng.normal(size=(1000, 16)) * 0.3).astype(np.float32)
+    v = spark.createDataFrame([(f"v{i:04}", r.tolist()) for i, r in enumerate(x)], "vec_id string, embedding array<float>")
+    got: dict[str, set] = {}
+    for r in neighbours.nearest(v, 5, place_bytes=64 * 100).collect():
+        got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
+    hits = []
+    for i in range(1000):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hits.append(len(got[f"v{i:04}"] & {f"v{j:04}" for j in np.argsort(d, kind="stable")[:5]}) / 5)
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbour_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [1.0]), (7, []), (8, [None, 1.0]), (9, [inf, 0.0]), (None, [0.0, 1.0])]
