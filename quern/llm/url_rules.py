@@ -8,9 +8,12 @@ begin so.  Prefixes are nested or disjoint intervals of the key order, so one
 sweep over rules and URLs in key order keeps the active rules on a stack; its
 top is the most specific rule.
 
-Scale.  Range bounds come from a sample of keys (hash order, so repeatable); a
-rule goes to every range it meets, a URL to one.  Each range is sorted and swept
-by one task in constant memory but for the stack.  Only narrow columns move.
+Scale.  Range bounds come from a sample of rows (``SAMPLE_A_RANGE`` for each range),
+so ranges have about equal numbers of rows; they decide where a row is judged,
+not how.  A key with more rows than a range's share gets several ranges, over
+which its rows are spread.  A rule goes to every range it meets, a URL to one.  Each range is a
+partition of its own, sorted and swept in constant memory but for the stack.
+Only narrow columns move.
 
 Defined cases: NULL and unreadable URLs have key '' and meet no rule; URLs that
 meet no rule are allowed; of rules with equal keys the least id counts; repeated
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import col
 
 SAMPLE_A_RANGE = 64
+SEED = 3
 _LAST = "\U0010ffff"
 
 #: id, pattern, action of the filter list that the query applies.
@@ -67,14 +71,19 @@ def _ranges(bounds: list[str], rules: bool):
         for batch in batches:
             keys = batch.column(0).to_pylist()
             if not rules:
-                yield pa.RecordBatch.from_arrays([pa.array([bisect_right(bounds, k) for k in keys], pa.int32()), *batch.columns], ["range", *batch.schema.names])
+                at = []
+                for k, h in zip(keys, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                    low, high = bisect_left(bounds, k), bisect_right(bounds, k)
+                    at.append(high if high - low < 2 else low + 1 + h % (high - low))  # between equal bounds lies that key alone
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns[:-1]], ["range", *batch.schema.names[:-1]])
                 continue
             rows, at = [], []
             for i, k in enumerate(keys):
-                for r in range(bisect_right(bounds, k), bisect_left(bounds, k + _LAST) + 1):
+                low = bisect_left(bounds, k)
+                for r in range(low + (bounds[low : low + 1] == [k]), bisect_left(bounds, k + _LAST) + 1):
                     rows.append(i)
                     at.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(c.take(pa.array(rows, pa.int64())) for c in batch.columns)], ["range", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1])], ["range", *batch.schema.names[:-1]])
 
     return run
 
@@ -111,6 +120,16 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column(3).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int32())], ["page_id", "url_key", "rule_id", "action", "n_rules"])
 
 
+def range_bounds(counts: list[tuple[str, int]], parts: int) -> list[str]:
+    """Bounds of ``parts`` ranges of equal numbers of rows, from keys in order with their numbers; a key may be several bounds."""
+    total = sum(n for _, n in counts)
+    out, done = [], 0
+    for key, n in counts:
+        done += n
+        out += [key] * (done * parts // total - len(out)) if total else []
+    return out[: parts - 1]
+
+
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame(rules, "rule_id long, pattern string, action string")
 
@@ -119,14 +138,16 @@ def apply_rules(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     """(page_id, url_key, rule_id, action, n_rules) of every page: the most specific rule and how many are nested there."""
     spark = pages.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = pages.select(F.coalesce(canonical_key(col(url).cast("string")), F.lit("")).alias("key"), F.lit(True).alias("page"), col(page_id).alias("page_id"), F.lit(None).cast("long").alias("rule_id"), F.lit(None).cast("string").alias("action"))
+    keyed = pages.select(F.coalesce(canonical_key(col(url).cast("string")), F.lit("")).alias("key"), F.lit(True).alias("page"), col(page_id).alias("page_id"), F.lit(None).cast("long").alias("rule_id"), F.lit(None).cast("string").alias("action"), F.pmod(F.xxhash64(col(page_id)), F.lit(1 << 31)).alias("spread"))
     kind = keyed.schema["page_id"].dataType.simpleString()
-    wanted = rules.select(canonical_key(F.col("pattern")).alias("key"), F.lit(False).alias("page"), F.lit(None).cast(kind).alias("page_id"), F.col("rule_id").cast("long").alias("rule_id"), F.col("action").cast("string").alias("action")).where("key IS NOT NULL AND key <> ''")
-    sample = sorted(r[0] for r in keyed.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE_A_RANGE * parts).collect())
-    bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)}) if sample else []
+    wanted = rules.select(canonical_key(F.col("pattern")).alias("key"), F.lit(False).alias("page"), F.lit(None).cast(kind).alias("page_id"), F.col("rule_id").cast("long").alias("rule_id"), F.col("action").cast("string").alias("action"), F.lit(0).cast("long").alias("spread")).where("key IS NOT NULL AND key <> ''")
+    share = min(1.0, SAMPLE_A_RANGE * parts / max(1, pages.count()))
+    few = keyed.select("key").where(F.rand(SEED) < share) if share < 1 else keyed.select("key")
+    counts = sorted((r["key"], r["n"]) for r in few.groupBy("key").agg(F.count("*").alias("n")).collect())  # about SAMPLE_A_RANGE rows a range
+    bounds = range_bounds(counts, parts)
     schema = f"range int, key string, page boolean, page_id {kind}, rule_id long, action string"
     both = keyed.mapInArrow(_ranges(bounds, False), schema).unionByName(wanted.mapInArrow(_ranges(bounds, True), schema))
-    ready = both.repartition("range").sortWithinPartitions("range", "key", "page", "rule_id")
+    ready = both.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "key", "page", "rule_id")
     return ready.mapInArrow(_sweep, f"page_id {kind}, url_key string, rule_id long, action string, n_rules int")
 
 
