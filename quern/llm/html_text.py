@@ -8,7 +8,8 @@ of its sign.  The words' score is then scaled to the best overlap of run and
 content on the same pages.  One pass of running sums finds the run.
 
 Scale.  Extraction is one narrow scan.  The scores are a small table (a number
-for words and one a tag name), fitted on at most ``max_labelled_pages`` pages.
+for words and one a tag name), fitted on at most ``max_labelled_pages`` pages;
+those are picked by their ids alone, and only their mark-up is gathered.
 
 Defined cases: NULL, empty and wordless pages give NULL text, 0 words; of equal
 runs the first and shortest counts; broken markup is read as far as it goes; the
@@ -132,10 +133,9 @@ def _overlaps(scores: dict[str, float], scales: tuple[float, ...]):
     return run
 
 
-def fit(labelled: DataFrame, page_id: str = "page_id", html: str = "html", text: str = "text", max_labelled_pages: int = MAX_LABELLED_PAGES) -> dict[str, float]:
-    """Scores by token ('' is a word) from at most that many pages with known text, least hash first."""
-    few = labelled.where(col(html).isNotNull() & col(text).isNotNull()).orderBy(F.xxhash64(col(page_id)), col(page_id)).limit(max_labelled_pages)
-    few = cut(few.select(col(html), col(text)))
+def fit(labelled: DataFrame, html: str = "html", text: str = "text") -> dict[str, float]:
+    """Scores by token ('' is a word) from the pages with known text (``labelled_pages`` bounds their number)."""
+    few = cut(labelled.where(col(html).isNotNull() & col(text).isNotNull()).select(col(html), col(text)))
     rows = few.mapInArrow(_count, "token string, inside long, total long").groupBy("token").agg(F.sum("inside").alias("i"), F.sum("total").alias("n")).collect()
     out: dict[str, float] = {}
     for r in rows:
@@ -171,8 +171,12 @@ def extract(pages: DataFrame, scores: dict[str, float], page_id: str = "page_id"
 
 
 def labelled_pages(pages: DataFrame, docs: DataFrame, max_labelled_pages: int = MAX_LABELLED_PAGES) -> DataFrame:
-    """Pages whose address ends in a document's number, with that document's text as their known content."""
-    number = F.regexp_extract("url", "/([0-9]+)(?:[./?#]|$)", 1)
-    few = pages.withColumn("_doc", F.expr("try_cast(regexp_extract(url, '/([0-9]+)(?:[./?#]|$)', 1) AS BIGINT)")).where(number != "").orderBy(F.xxhash64("page_id"), "page_id").limit(max_labelled_pages)
-    few = F.broadcast(few.select("page_id", "html", "_doc"))  # bounded by the sample
-    return docs.select(F.col("doc_id").alias("_doc"), "text").join(few, "_doc").select("page_id", "html", "text")
+    """At most that many pages (least hash of the id first) whose address ends in a document's number, with its text as their known content.
+
+    The order is taken over ids alone; repeated rows of an id count once.
+    """
+    numbered = pages.select("page_id", F.expr("try_cast(regexp_extract(url, '/([0-9]+)(?:[./?#]|$)', 1) AS BIGINT)").alias("_doc")).where("_doc IS NOT NULL")
+    few = cut(numbered.orderBy(F.xxhash64("page_id"), "page_id", "_doc").limit(max_labelled_pages).dropDuplicates(["page_id"]))
+    texts = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(few), "_doc")  # bounded by the sample
+    marked = pages.select("page_id", "html").join(F.broadcast(few.select("page_id")), "page_id", "left_semi").dropDuplicates(["page_id"])
+    return marked.join(texts.dropDuplicates(["page_id"]), "page_id").select("page_id", "html", "text")
