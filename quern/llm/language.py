@@ -7,8 +7,11 @@ its labelled texts' unit vectors.  A text gets the language of greatest cosine.
 
 Scale.  Scoring is one narrow scan: a chunk's trigram counts times its trigram
 vectors is one matrix product.  Prototypes come from at most
-``max_docs_per_lang`` documents of each language (least hash first); only they
-are broadcast (languages x dimensions).
+``max_docs_per_lang`` documents of each language, those of least hash: counts
+by language give a bound of the hash that somewhat more than so many lie under,
+and only those are ranked.  At most ``MAX_LANGUAGES`` languages, the most
+frequent ones, have a prototype; only prototypes are broadcast (languages x
+dimensions).
 
 Defined cases: texts without a letter, NULL included, get language NULL and
 cosine NULL; very long texts are used whole; a NULL declared language trains
@@ -32,6 +35,7 @@ from quern.session import cut
 
 DIMENSIONS = 1024
 MAX_DOCS_PER_LANG = 1500
+MAX_LANGUAGES = 8192
 SEED = 7
 _BLOCK = 4096
 
@@ -115,9 +119,14 @@ def _bundle(dimensions: int, seed: int):
 def prototypes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_docs_per_lang: int = MAX_DOCS_PER_LANG, dimensions: int = DIMENSIONS, seed: int = SEED) -> dict[str, np.ndarray]:
     """Unit prototype of each declared language."""
     own = small_batches(docs).where(col(doc_id).isNotNull() & col(lang).isNotNull()).select(col(doc_id).alias("_id"), col(lang).cast("string").alias("lang"), F.lower(col(text).cast("string")).alias("text"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id"))
-    few = own.select("_id", "lang").withColumn("_rank", rank).where(F.col("_rank") <= max_docs_per_lang).select("_id", "lang").distinct()
-    sample = cut(own.join(F.broadcast(few), ["_id", "lang"], "left_semi").select("lang", "text"))  # bounded by the sample
+    counts = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    most = max_docs_per_lang + 6 * max_docs_per_lang**0.5 + 6  # so that fewer than wanted lie under it once in a billion
+    under = cut(counts.select("lang", F.least(F.lit(1.0), F.lit(most) / F.col("n")).alias("share")))  # at most MAX_LANGUAGES rows
+    space = float(1 << 62)
+    hashed = own.withColumn("_hash", F.shiftrightunsigned(F.xxhash64("_id"), 2))
+    near = hashed.join(F.broadcast(under), "lang").where(F.col("_hash") < F.col("share") * space)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("_hash", "_id"))
+    sample = cut(near.withColumn("_rank", rank).where(F.col("_rank") <= max_docs_per_lang).select("lang", "text"))
     parts = sample.coalesce(8).mapInArrow(_bundle(dimensions, seed), "lang string, v array<double>").collect()
     sums: dict[str, np.ndarray] = {}
     for r in parts:
