@@ -22,7 +22,8 @@ documents by id.
 
 Defined cases: NULL or empty texts have no finding and stay as they are; very
 long texts are scanned whole; repeated rows are found each; a NULL id is carried
-along; without any seed nothing is found; other columns are kept by ``redact``.
+along; of kinds equally well founded the last in the alphabet is given; without
+any seed nothing is found; other columns are kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col, small_batches
+from quern.llm.common import col, free_name, small_batches
 from quern.session import cut
 
 ROUNDS = 3
@@ -287,7 +288,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, min_confidence: float = MI
         through = graph.join(scores, "pattern", "left").groupBy("instance").agg(
             F.max(F.when(F.col("seed") == NOT, -1.0).when(F.col("seed") == "", 0.0).otherwise(1.0)).alias("seeded"),
             (1 - F.exp(F.sum(F.ln(F.greatest(1 - F.coalesce("confidence", F.lit(0.0)), F.lit(1e-9)))))).alias("given"),
-            F.max_by("kind", "confidence").alias("kind"),
+            F.max_by("kind", F.struct("confidence", "kind")).alias("kind"),
         )
         through = cut(through)
         belief = through.select("instance", F.when(F.col("seeded") > 0, 1.0).when(F.col("seeded") < 0, 0.0).when(F.col("given") >= min_belief, F.col("given")).otherwise(0.0).alias("belief"))
@@ -365,7 +366,8 @@ def _resize(out: DataFrame, docs: DataFrame, text: str, size: str) -> DataFrame:
 
 def _redact_by_join(docs: DataFrame, patterns: DataFrame, doc_id: str, text: str, size: str, min_belief: float) -> DataFrame:
     """The same with the spans joined to the documents, for pattern tables too large to broadcast."""
-    row, spans = "_quern_row", "_quern_spans"
+    row = free_name(docs, "_row")
+    spans = free_name(docs, "_spans", (row,))
     own = cut(docs.withColumn(row, F.monotonically_increasing_id()))
     hits = judge(find_candidates(own, row, text), patterns, min_belief)
     lists = hits.groupBy(F.col("doc_id").alias(row)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(spans))
