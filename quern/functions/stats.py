@@ -1,7 +1,8 @@
 """Robust statistics over groups (AG-01..05, AG-08, AG-13, AG-27), as DataFrame operations.
 
-Quantiles are taken after summing weights by distinct value, so that the window
-sorts distinct values, not rows, and the sum is combined on the map side.
+Medians, deviations and quantiles are taken from a histogram of each group, summed
+on the map side: windows sort distinct values, never rows, so a group of any
+number of rows is a small matter for the task that has it.
 """
 
 from __future__ import annotations
@@ -11,51 +12,78 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, quantiles: dict[str, float]) -> DataFrame:
-    """One row a group: for each name the least value whose running weight reaches that share (AG-02).
+def histogram(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, value, _n rows, _w sum of the positive weights) for every value but NULL, summed on the map side."""
+    w = F.sum(F.when(F.col(weight) > 0, F.col(weight))) if weight else F.count("*")
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"), w.alias("_w"))
+
 
-    Values that are NULL or not positive and weights that are not positive don't count.
+def quantiles_of(hist: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """One row a group of a histogram: for each name the least value whose running weight reaches that share (AG-02).
+
+    Values that aren't positive don't count, nor those without weight.
     """
-    by_value = df.where((F.col(value) > 0) & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
     part = W.partitionBy(*keys)
-    run = by_value.withColumn("_run", F.sum("_w").over(part.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(part))
+    run = hist.where((F.col(value) > 0) & (F.col("_w") > 0)).withColumn("_run", F.sum("_w").over(part.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("_w").over(part))
     return run.groupBy(*keys).agg(*(F.min(F.when(F.col("_run") >= F.col("_all") * q, F.col(value))).alias(n) for n, q in quantiles.items()))
 
 
-def outliers(df: DataFrame, keys: list[str], value: str, low: float, high: float, least: int, mad: float | None, keep_all: bool) -> DataFrame:
-    """``df`` with ``kept``: inside low..high medians and, with ``mad``, within that many absolute deviations.
+def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, quantiles: dict[str, float]) -> DataFrame:
+    """AG-02 over rows: NULL values and weights that are not positive don't count."""
+    return quantiles_of(histogram(df, keys, value, weight), keys, value, quantiles)
+
+
+def _middle(x: Column, run: Column, total: Column, part) -> Column:
+    """Mean of the middle two of the values x with running count ``run`` of ``total``, over the window ``part``."""
+    low, high = (F.min(F.when(run >= at, x)).over(part) for at in (F.floor((total + 1) / 2), F.floor(total / 2) + 1))
+    return (low + high) / 2
+
+
+def judged(hist: DataFrame, keys: list[str], value: str, low: float, high: float, least: int, mad: float | None, keep_all: bool) -> DataFrame:
+    """The histogram with ``kept``: inside low..high medians and, with ``mad``, within that many absolute deviations.
 
     Groups under ``least`` values stay whole; a deviation of 0 passes everything;
     ``keep_all`` restores a group of which nothing would be left (AG-03, 04, 05).
+    Every window is over distinct values, in one partitioning.
     """
-    centre = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(value).alias("_m"), F.count(value).alias("_n"))
-    wide = df.join(centre, keys, "left")
+    part = W.partitionBy(*keys)
+    up_to = lambda order: part.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    wide = hist.withColumn("_all", F.sum("_n").over(part)).withColumn("_run", F.sum("_n").over(up_to(value)))
+    wide = wide.withColumn("_m", _middle(F.col(value), F.col("_run"), F.col("_all"), part))
     ratio = F.col(value).between(F.col("_m") * low, F.col("_m") * high)
     if mad is not None:
-        spread = wide.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("_d"))
-        wide = wide.join(spread, keys, "left")
-        ratio = ratio & ((F.col("_d") == 0) | (F.abs(F.col(value) - F.col("_m")) <= F.col("_d") * mad))
-    kept = F.coalesce(F.when(F.col("_n") < least, F.col(value).isNotNull()).otherwise(ratio), F.lit(False))
-    wide = wide.withColumn("kept", kept)
+        wide = wide.withColumn("_gap", F.abs(F.col(value) - F.col("_m"))).withColumn("_run", F.sum("_n").over(up_to("_gap")))
+        wide = wide.withColumn("_d", _middle(F.col("_gap"), F.col("_run"), F.col("_all"), part))
+        ratio = ratio & ((F.col("_d") == 0) | (F.col("_gap") <= F.col("_d") * mad))
+    wide = wide.withColumn("kept", F.when(F.col("_all") < least, True).otherwise(ratio))
     if keep_all:
-        some = F.max(F.col("kept")).over(W.partitionBy(*keys))
-        wide = wide.withColumn("kept", F.col("kept") | (~some & F.col(value).isNotNull()))
-    return wide.select(*df.columns, "kept")
+        wide = wide.withColumn("kept", F.col("kept") | ~F.max("kept").over(part))
+    return wide.select(*hist.columns, "kept")
+
+
+#: Rules of ``judged``: AG-03 market (keeps all rather than none), AG-04 offers (may keep none), AG-05 ratio alone.
+MARKET, OFFERS, RATIO = (0.50, 1.90, 4, 3.5, True), (0.55, 1.80, 3, 3.5, False), (0.55, 1.80, 3, None, False)
+
+
+def outliers(df: DataFrame, keys: list[str], value: str, rule: tuple) -> DataFrame:
+    """``df`` with ``kept`` by a rule of ``judged``; rows look their value up in the judged histogram, NULL ones aren't kept."""
+    table = judged(histogram(df, keys, value), keys, value, *rule).select(*keys, value, "kept")
+    return df.join(table, [*keys, value], "left").select(*df.columns, F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def market_outliers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AG-03: 0.50 to 1.90 medians and 3.5 deviations from 4 values on; keeps all rather than none."""
-    return outliers(df, keys, value, 0.50, 1.90, 4, 3.5, True)
+    return outliers(df, keys, value, MARKET)
 
 
 def offer_outliers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AG-04: 0.55 to 1.80 medians and 3.5 deviations from 3 values on; may keep none."""
-    return outliers(df, keys, value, 0.55, 1.80, 3, 3.5, False)
+    return outliers(df, keys, value, OFFERS)
 
 
 def ratio_outliers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """AG-05: 0.55 to 1.80 medians from 3 values on."""
-    return outliers(df, keys, value, 0.55, 1.80, 3, None, False)
+    return outliers(df, keys, value, RATIO)
 
 
 def weighted_mean_renormalised(parts: list[tuple[Column, float]]) -> Column:

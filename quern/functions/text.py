@@ -112,17 +112,22 @@ def _ratio(a: str | None, b: str | None, short_overlap: bool) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def text_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Greater of matching-blocks ratio and token overlap, the latter for long texts only (STR-07)."""
+def similarity_long(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Greater of matching-blocks ratio and token overlap, the latter for long texts only (STR-07); of texts that ``duplicate_text`` normalised."""
     return pd.Series([_ratio(x, y, False) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 @F.pandas_udf(T.DoubleType())
-def text_similarity_short(a: pd.Series, b: pd.Series) -> pd.Series:
+def similarity_short(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same with the overlap allowed for short texts."""
     return pd.Series([_ratio(x, y, True) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def text_similarity(a: Column, b: Column, short_overlap: bool = False) -> Column:
+    """STR-07 of two raw texts, normalised by STR-03 first."""
+    return (similarity_short if short_overlap else similarity_long)(duplicate_text(F.coalesce(a, F.lit(""))), duplicate_text(F.coalesce(b, F.lit(""))))
+
+
 def any_word(x: Column, terms: list[str]) -> Column:
     """Whether a whole word of the normalised text is one of the terms (STR-08)."""
     padded = F.concat(F.lit(" "), x, F.lit(" "))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import re
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,30 +61,6 @@ def longest_alias(df: DataFrame, key: str, x: str, aliases: DataFrame) -> DataFr
     return hits.groupBy(key).agg(best).select(key, "b.alias", "b.canonical")
 
 
-def match_ladder(a: str, b: str, trim: bool = False) -> tuple[Column, Column]:
-    """(type, score) of two aliased sides of one brand (SCR-21); both sides need model, model_family, generation, model_year."""
-    l_, r_ = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    dy = F.abs(l_("model_year") - r_("model_year"))
-    same = l_("model") == r_("model")
-    family = (l_("model_family") == r_("model_family")) & (dy <= 3)
-    generation = differ_when_known(l_("generation"), r_("generation"))
-    other_trim = differ_when_known(l_("trim"), r_("trim")) if trim else F.lit(False)
-    unknown = dy.isNull()
-    kind = (F.when(same & generation, "rejected").when(same & other_trim, "model_family").when(same & unknown, "close").when(same & (dy <= 1), "exact").when(same & (dy <= 2), "close")
-            .when(family, "model_family").otherwise("rejected"))
-    score = (F.when(same & generation, 0.0).when(same & other_trim, 0.62).when(same & unknown, 0.82).when(same & (dy <= 1), 1.0 - 0.05 * dy).when(same & (dy <= 2), 0.78)
-             .when(family, 0.60).otherwise(0.0))
-    return kind, score
-
-
-def component_class(known: list[tuple[Column, Column]]) -> Column:
-    """Whether at least two attributes are known on both sides and two thirds of those agree (SCR-21, last branch)."""
-    both = [(F.coalesce(x, F.lit("")) != "") & (F.coalesce(y, F.lit("")) != "") for x, y in known]
-    n = reduce(lambda p, q: p + q, (k.cast("int") for k in both))
-    same = reduce(lambda p, q: p + q, ((k & (x == y)).cast("int") for k, (x, y) in zip(both, known, strict=True)))
-    return (n >= 2) & (F.try_divide(same, n) >= 0.67)
-
-
 def offer_score(brand: Column, model_equal: Column, model_jaccard: Column, subset: Column, matches: list[tuple[Column, Column, float]]) -> tuple[Column, Column]:
     """(score, reason) of an offer (SCR-18): the first known mismatch rejects, agreements add up.
 
@@ -114,17 +88,6 @@ def market_route(brand: Column, category: Column, by_brand: dict[str, list[str]]
     return F.array_distinct(F.concat(F.array(F.lit(home)), F.slice(F.filter(national, lambda m: ~m.isin(home, last)), 1, 2), F.array(F.lit(last))))
 
 
-def model_year(x: Column) -> Column:
-    """A year from 2000 to 2039 that is not part of a longer number (ENT-06)."""
-    return F.regexp_extract(x, r"(?<![0-9.])(20[0-3][0-9])(?![0-9])", 1).try_cast("int")
-
-
-def generation(x: Column) -> Column:
-    """'Gen n' from 'gen 3', 'gen. 3' or '3rd gen' (ENT-06)."""
-    n = F.coalesce(F.nullif(F.regexp_extract(x, r"\bgen(?:eration|erace|\.)? ?([1-9])\b", 1), F.lit("")), F.nullif(F.regexp_extract(x, r"\b([1-9])(?:st|nd|rd|th)? gen", 1), F.lit("")))
-    return F.coalesce(F.concat(F.lit("Gen "), n), F.lit(""))
-
-
 def identity_confidence(brand: Column, confirmed: Column, candidate: Column, gen: Column, year: Column, wheel: Column, kind: Column) -> Column:
     """ENT-10: brand .40, confirmed model .40 or candidate .20, details; unconfirmed at most .65."""
     some = lambda c, w: F.when(F.coalesce(c.cast("string"), F.lit("")) != "", w).otherwise(0.0)
@@ -132,25 +95,6 @@ def identity_confidence(brand: Column, confirmed: Column, candidate: Column, gen
     return numeric.half_even_score(F.when(confirmed, total).otherwise(F.least(total, F.lit(0.65))), 2)
 
 
-def _wheel(s: str | None) -> str:
-    t = s or ""
-    found = list(re.finditer(r"(?<![0-9.,])(12|14|16|18|20|24|26|27[.,]5|28|29)(?![0-9])", t))
-    for m in found:  # a wheel marker next to the number wins
-        before, after = t[max(0, m.start() - 14) : m.start()], t[m.end() : m.end() + 8]
-        if re.search(r"(?:wheels?|kola|rafk\w*)\W*$", before) or re.match(r"\W?(?:\"|''|inch|palc)", after):
-            return m.group(1).replace(",", ".")
-    for m in found:  # a frame marker before it vetoes
-        if not re.search(r"(?:frame|ram|velikost|size)\W*$", t[max(0, m.start() - 12) : m.start()]):
-            return m.group(1).replace(",", ".")
-    return ""
-
-
-@F.pandas_udf(T.StringType())
-def wheel_size(x: pd.Series) -> pd.Series:
-    """Wheel size by context (ENT-07): a wheel marker wins, a frame marker vetoes, else the first."""
-    return x.map(_wheel)
-
-
 def fuzzy_alias_udf(aliases: list[str], least: float = 0.90):
     """Arrow kernel of the fuzzy fallback (ENT-04): best ratio above ``least`` of alias and token window."""
     long_enough = [(a, len(a.split())) for a in aliases if len(a) >= 4]

@@ -57,6 +57,24 @@ def cap_hot(status: Column, estimated: Column) -> Column:
     return F.when((status == "HOT") & estimated, "INTERESTING").otherwise(status)
 
 
+def purchase_price(price: Column, amount: Column, currency: Column, rates: Column) -> Column:
+    """PRJ-06: the home price, else the amount in the home currency, else by the map of rates, else NULL."""
+    ccy = F.upper(F.coalesce(currency, F.lit("CZK")))
+    rate = F.try_element_at(rates, ccy)
+    return F.coalesce(price.cast("double"), F.when(ccy == "CZK", amount.cast("double")).when(rate != 0, amount.cast("double") * rate))
+
+
+def isolate_errors(broken: Column, status: Column, flags: Column) -> Column:
+    """(status, flags): a row whose figures couldn't be worked out becomes a review of its own and leaves the others alone (SCR-11)."""
+    return F.struct(F.when(broken, "MANUAL_REVIEW").otherwise(status).alias("status"), F.when(broken, F.array(F.lit("deal_evaluation_error"))).otherwise(flags).alias("flags"))
+
+
+def count_facts(values: list[Column]) -> Column:
+    """How many of the values are known: neither NULL, empty, 0 nor false (AG-29)."""
+    known = (F.when(F.coalesce(v.cast("string"), F.lit("")).isin("", "0", "0.0", "false"), 0).otherwise(1) for v in values)
+    return sum(known, F.lit(0))
+
+
 def deal_score(profit: Column, roi: Column, liquidity: Column, confidence: Column, condition: Column, flags: Column, r: DealRules = DealRules()) -> Column:
     """SCR-10: weighted mean of what is known, 0 to 100."""
     share = lambda c, top: numeric.clamp(c.cast("double") / top * 100, 0.0, 100.0)

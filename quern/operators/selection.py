@@ -50,3 +50,15 @@ def head_tail(df: DataFrame, status: str, score: str, key: str, n: int) -> DataF
     worst = F.row_number().over(W.partitionBy(status).orderBy(F.asc(score), F.desc(key)))
     ranked = df.withColumn("_b", best).withColumn("_w", worst)
     return ranked.where((F.col("_b") <= (n + 1) // 2) | (F.col("_w") <= n // 2)).withColumn("part", F.when(F.col("_b") <= (n + 1) // 2, "head").otherwise("tail")).drop("_b", "_w")
+
+
+def suppressed(listings: DataFrame, keys: list[str], mode: str, order: list[Column], most: int) -> DataFrame:
+    """Keys that a first run registers without a notice (TK-06): all, all but the first ``most``, or none."""
+    own = listings.select(*keys)
+    if mode == "skip_existing":
+        return own.distinct()
+    if mode == "send_latest":
+        return own.join(listings.orderBy(*order).limit(most).select(*keys), keys, "left_anti").distinct()
+    if mode == "send_all":
+        return own.limit(0)
+    raise ValueError(f"unknown mode {mode}")

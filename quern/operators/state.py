@@ -1,14 +1,11 @@
 """Keyed state on Parquet without MERGE (SNK-01..15, FIL-13): every function maps tables to tables.
 
-``Snapshots`` writes a new version and then switches a pointer, so a reader sees
-the old state or the new one, and a failed write leaves the old one in place.
+``Snapshots`` writes numbered versions and reads the highest whole one, so a reader
+sees the old state or the new one, and a failed write leaves the old one in place.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +28,17 @@ def upsert(state: DataFrame, batch: DataFrame, keys: list[str], refresh: list[st
 
 
 def append_new(state: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the batch whose key the table doesn't have, one a key (SNK-04, SNK-08)."""
-    return batch.dropDuplicates(keys).join(state.select(*keys), keys, "left_anti")
+    """Rows of the batch whose key the table doesn't have, the least of each key (SNK-04, SNK-08)."""
+    rest = [c for c in batch.columns if c not in keys]
+    one = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*") if rest else batch.distinct()
+    return one.select(*batch.columns).join(state.select(*keys), keys, "left_anti")
 
 
 def dedup_nullable(df: DataFrame, key: str) -> DataFrame:
-    """One row a key, but every row whose key is NULL (SNK-06)."""
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    """The least row of each key, but every row whose key is NULL (SNK-06)."""
+    rest = [c for c in df.columns if c != key]
+    one = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*").select(*df.columns)
+    return one.unionByName(df.where(F.col(key).isNull()))
 
 
 def latest(df: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -74,7 +75,12 @@ def migrate(df: DataFrame, added: dict[str, Column], backfill: dict[str, Column]
 
 
 class Snapshots:
-    """Versions of one table under a folder; the pointer names the current one."""
+    """Versions of one table under a folder, numbered; the highest whole one is current.
+
+    A version is whole once Spark has put its _SUCCESS file there, so a reader sees
+    the version before or the new one, never none, and a write that fails leaves
+    the table as it was.  Older versions stay until ``prune``.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -82,24 +88,33 @@ class Snapshots:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _versions(self) -> list[tuple[int, bool]]:
+        """(number, whole) of every version folder, ascending."""
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
+        numbers = sorted(int(n[2:].split("-")[0]) for n in names if n.startswith("v-"))
+        by = {int(n[2:].split("-")[0]): n for n in names if n.startswith("v-")}
+        return [(n, self._fs.exists(self._path(f"{self.folder}/{by[n]}/_SUCCESS"))) for n in numbers]
+
     def version(self) -> str | None:
-        pointer = self._path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])["version"]
+        whole = [n for n, ok in self._versions() if ok]
+        return f"v-{whole[-1]:012d}" if whole else None
 
     def read(self) -> DataFrame | None:
         v = self.version()
         return None if v is None else self.spark.read.parquet(f"{self.folder}/{v}")
 
     def write(self, df: DataFrame) -> str:
-        v = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.folder}/{v}")
-        temporary, pointer = self._path(f"{self.folder}/_CURRENT.{v}"), self._path(f"{self.folder}/CURRENT")
-        out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps({"version": v}).encode()))
-        out.close()
-        self._fs.delete(pointer, False)
-        if not self._fs.rename(temporary, pointer):
-            raise OSError(f"could not switch {pointer.toString()}")
+        """The next version; of two writers at once one fails, as the folder is there already."""
+        last = max((n for n, _ in self._versions()), default=0)
+        v = f"v-{last + 1:012d}"
+        df.write.mode("error").parquet(f"{self.folder}/{v}")
         return v
+
+    def prune(self, keep: int = 2) -> None:
+        """Deletes all but the newest ``keep`` whole versions, and what failed before them."""
+        whole = [n for n, ok in self._versions() if ok]
+        for n, _ in self._versions():
+            if len(whole) > keep and n < whole[-keep]:
+                self._fs.delete(self._path(f"{self.folder}/v-{n:012d}"), True)

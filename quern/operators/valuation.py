@@ -20,10 +20,12 @@ GENERATION_ONLY = 0.55
 
 def value_groups(rows: DataFrame, keys: list[str], price: str, weight: str) -> DataFrame:
     """Robust market price of every group: outliers out, weighted quantiles, range, confidence, status, lifetime."""
-    kept = stats.market_outliers(rows, keys, price).where("kept")
-    quant = stats.weighted_quantiles(kept, keys, price, weight, {"low": 0.25, "mid": 0.5, "high": 0.75})
-    size = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.min(price).alias("pmin"), F.max(price).alias("pmax"))
-    z = quant.join(size, keys)
+    kept = stats.judged(stats.histogram(rows, keys, price, weight), keys, price, *stats.MARKET).where("kept")
+    part = W.partitionBy(*keys)
+    counts = (F.col(price) > 0) & (F.col("_w") > 0)
+    run = kept.withColumn("_run", F.sum(F.when(counts, F.col("_w"))).over(part.orderBy(price).rowsBetween(W.unboundedPreceding, 0))).withColumn("_sum", F.sum(F.when(counts, F.col("_w"))).over(part))
+    at = lambda q: F.min(F.when(counts & (F.col("_run") >= F.col("_sum") * q), F.col(price)))
+    z = run.groupBy(*keys).agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("high"), F.sum("_n").alias("n"), F.min(price).alias("pmin"), F.max(price).alias("pmax")).where("mid IS NOT NULL")
     s = stats.spread(F.col("pmin"), F.col("pmax"), F.col("mid"))
     lo = F.when(F.col("n") >= 3, F.col("low").cast("double")).when(F.col("n") == 2, F.col("pmin") * 0.95).otherwise(F.col("mid") * 0.85)
     hi = F.when(F.col("n") >= 3, F.col("high").cast("double")).when(F.col("n") == 2, F.col("pmax") * 1.05).otherwise(F.col("mid") * 1.15)

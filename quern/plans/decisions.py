@@ -173,5 +173,5 @@ def condition_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCR-03 on document heads; the terms are frequent words of the texts."""
     from quern.functions.text import normalize_text
 
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", normalize_text(F.substring("text", 1, 500)).alias("t"))
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", normalize_text(F.col("text")).alias("t"))
     return d.select("doc_id", scoring.condition(F.col("t"), ["with"], ["of the"], ["from"], ["that"]).alias("condition"))

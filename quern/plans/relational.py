@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quern.functions import numeric, text
-from quern.operators import matching, selection
+from quern.operators import joins, matching, selection
 from quern.plans.registry import query, table
 
 RATES = [("EUR", 24.0), ("PLN", 5.8), ("CHF", 26.0), ("CZK", 1.0)]
@@ -49,9 +49,7 @@ SELECT a.p_partkey AS a, b.p_partkey AS b FROM s a JOIN s b ON a.p_brand = b.p_b
 def null_tolerant_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FIL-15, FIL-16: an unknown side passes."""
     s = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_type")).alias("t"))
-    a, b = s.alias("a"), s.alias("b")
-    near = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.col("b.p_partkey") < F.col("a.p_partkey") + 50)
-    return a.join(b, near).where(matching.same_or_unknown(F.col("a.t"), F.col("b.t"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
+    return joins.ahead_pairs(s, ["p_brand"], "p_partkey", 50).where(matching.same_or_unknown(F.col("a.t"), F.col("b.t"))).select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"))
 
 
 @query("SELECT o_orderkey, l_linenumber, o_totalprice, l_extendedprice FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_returnflag = 'R'")
@@ -103,26 +101,6 @@ def tolerance_join_2pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(part, (F.col("l_partkey") == F.col("p_partkey")) & near).select("p_partkey", "l_orderkey", "l_linenumber")
 
 
-MATCH_SQL = """
-WITH s AS (SELECT p_partkey AS k, p_brand AS brand, split_part(p_type, ' ', 1) AS model, split_part(p_type, ' ', 2) AS family, p_size % 4 AS gen, 2010 + p_size % 13 AS y FROM part),
-p AS (SELECT a.k AS target, b.k AS other, a.model = b.model AS same_model, a.family = b.family AS same_family, a.gen AS ga, b.gen AS gb, abs(a.y - b.y) AS dy FROM s a JOIN s b ON a.brand = b.brand AND a.k < b.k AND b.k < a.k + 200)
-SELECT target, other, CASE
- WHEN same_model AND ga <> 0 AND gb <> 0 AND ga <> gb THEN 'rejected' WHEN same_model AND dy <= 1 THEN 'exact' WHEN same_model AND dy <= 2 THEN 'close'
- WHEN same_family AND dy <= 3 THEN 'model_family' ELSE 'rejected' END AS match_type,
- CAST(CASE WHEN same_model AND ga <> 0 AND gb <> 0 AND ga <> gb THEN 0.0 WHEN same_model AND dy <= 1 THEN 1.0 - 0.05 * dy WHEN same_model AND dy <= 2 THEN 0.78 WHEN same_family AND dy <= 3 THEN 0.6 ELSE 0.0 END AS DOUBLE) AS score FROM p
-"""
-
-
-@query(MATCH_SQL)
-def match_ladder_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN-08, SCR-21: target and comparables of a brand through the match ladder."""
-    s = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("model"), F.split_part("p_type", F.lit(" "), F.lit(2)).alias("model_family"), F.when(F.col("p_size") % 4 == 0, "").otherwise((F.col("p_size") % 4).cast("string")).alias("generation"), (2010 + F.col("p_size") % 13).alias("model_year"))
-    near = (F.col("a.brand") == F.col("b.brand")) & (F.col("a.k") < F.col("b.k")) & (F.col("b.k") < F.col("a.k") + 200)
-    pairs = s.alias("a").join(s.alias("b"), near)
-    kind, score = matching.match_ladder("a", "b")
-    return pairs.select(F.col("a.k").alias("target"), F.col("b.k").alias("other"), kind.alias("match_type"), score.alias("score"))
-
-
 @query(f"""WITH fx(ccy, rate) AS (VALUES {", ".join(f"('{c}', {r})" for c, r in RATES)}), o AS (SELECT o_orderkey, o_totalprice, CASE o_custkey % 5 WHEN 0 THEN 'EUR' WHEN 1 THEN 'PLN' WHEN 2 THEN 'CHF' WHEN 3 THEN 'CZK' ELSE 'USD' END AS ccy FROM orders)
 SELECT o_orderkey, o.ccy, CAST(round_even(CAST(o_totalprice AS BIGINT) * rate, 0) AS BIGINT) AS price, CASE WHEN rate IS NULL THEN 'currency_error' ELSE '' END AS reason FROM o LEFT JOIN fx USING (ccy)""")
 def dim_broadcast_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,11 +188,11 @@ def union_distinct_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unionByName(c).groupBy("k").agg(F.min_by("name", F.struct("ord", "name")).alias("name"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(substr(text, 1, 400)), ' '), lambda x: x <> '')) AS t FROM documents WHERE doc_id < 300)
+@query("""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS t FROM documents)
 SELECT a.doc_id AS a, b.doc_id AS b, CAST(len(list_intersect(a.t, b.t)) AS INTEGER) AS common, round(len(list_intersect(a.t, b.t)) / least(len(a.t), len(b.t)), 6) AS overlap, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM w a JOIN w b ON b.doc_id = a.doc_id + 1""")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-03: intersection, overlap coefficient, Jaccard."""
-    w = table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 400)), " "), lambda x: x != "")).alias("t"))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda x: x != "")).alias("t"))
     a, b = w.alias("a"), w.alias("b")
     x, y = F.col("a.t"), F.col("b.t")
     return a.join(b, F.col("b.doc_id") == F.col("a.doc_id") + 1).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"), F.size(F.array_intersect(x, y)).alias("common"), F.round(text.overlap_coefficient(x, y), 6).alias("overlap"), F.round(text.jaccard(x, y), 6).alias("jaccard"))
@@ -255,16 +233,6 @@ def recency_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent.orderBy("ts", "event_id").limit(100).select("event_id", "user_id", "ts")
 
 
-@query("""WITH d AS (SELECT doc_id, lower(text) AS t, n_chars, lang FROM documents), l AS (SELECT * FROM labels)
-SELECT doc_id, CASE WHEN coalesce(toxic, 0) = 1 THEN 'DUPLICATE' WHEN contains(t, 'license') THEN 'HARD_FILTER' WHEN contains(' ' || t || ' ', ' token ') THEN 'WANTED' WHEN n_chars IS NULL OR n_chars = 0 THEN 'NO_PRICE' WHEN n_chars < 300 OR n_chars > 9000 THEN 'PRICE_RANGE' ELSE '' END AS skip FROM d LEFT JOIN l USING (doc_id)""")
-def prefilter_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL-06, FIL-11..14: first matching reason of the pre-filter, with stand-ins for its predicates."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"), "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    reason = (F.when(F.coalesce("toxic", F.lit(0)) == 1, "DUPLICATE").when(F.col("t").contains("license"), "HARD_FILTER").when(F.concat(F.lit(" "), "t", F.lit(" ")).contains(" token "), "WANTED")
-              .when(F.coalesce("n_chars", F.lit(0)) == 0, "NO_PRICE").when(~F.col("n_chars").between(300, 9000), "PRICE_RANGE").otherwise(""))
-    return d.select("doc_id", reason.alias("skip"))
-
-
 @query("""WITH c AS (SELECT p_brand, s_nationkey, COUNT(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 r AS (SELECT *, SUM(n) OVER (PARTITION BY p_brand ORDER BY n DESC, s_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
 SELECT p_brand, s_nationkey, n FROM r WHERE coalesce(before, 0) < 50""")

@@ -84,3 +84,9 @@ def stream_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Circuit breaker with keyed state over the stream."""
     e = streams.read_events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type")
     return streams.run_available(streams.breaker(e))
+
+
+@query("""SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '2024-01-20 06:00:00' - INTERVAL 6 HOUR AND ts <= TIMESTAMP '2024-01-20 06:00:00' OR ts = TIMESTAMP '2024-01-20 00:00:00'""")
+def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FIL-09, late data: events of the last six hours give a notice, each once."""
+    return streams.run_available(streams.alerts(streams.read_events(spark, sf_dir).select("event_id", "ts"), "2024-01-20 06:00:00"))

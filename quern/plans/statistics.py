@@ -79,26 +79,27 @@ SELECT partkey, COUNT(*) AS total, COUNT(*) FILTER (WHERE ok OR NOT any_ok) AS k
 
 def _outlier_frame(spark: SparkSession, sf_dir: str, rule) -> DataFrame:
     x = _unit_prices(spark, sf_dir).select("partkey", F.when(F.col("weight") % 7 == 0, F.col("price") * 3).otherwise(F.col("price")).alias("price"))
+    hist = stats.judged(stats.histogram(x, ["partkey"], "price"), ["partkey"], "price", *rule)
     price = F.when(F.col("kept"), F.col("price"))
-    return rule(x, ["partkey"], "price").groupBy("partkey").agg(F.count("*").alias("total"), F.count_if("kept").alias("kept"), F.min(price).alias("low_price"), F.max(price).alias("high_price"))
+    return hist.groupBy("partkey").agg(F.sum("_n").alias("total"), F.sum(F.when(F.col("kept"), F.col("_n")).otherwise(0)).alias("kept"), F.min(price).alias("low_price"), F.max(price).alias("high_price"))
 
 
 @query(_outlier_sql(0.5, 1.9, 4, True, True))
 def mad_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-03."""
-    return _outlier_frame(spark, sf_dir, stats.market_outliers)
+    return _outlier_frame(spark, sf_dir, stats.MARKET)
 
 
 @query(_outlier_sql(0.55, 1.8, 3, True, False))
 def offer_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-04."""
-    return _outlier_frame(spark, sf_dir, stats.offer_outliers)
+    return _outlier_frame(spark, sf_dir, stats.OFFERS)
 
 
 @query(_outlier_sql(0.55, 1.8, 3, False, False))
 def ratio_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG-05."""
-    return _outlier_frame(spark, sf_dir, stats.ratio_outliers)
+    return _outlier_frame(spark, sf_dir, stats.RATIO)
 
 
 @query("""SELECT o_custkey AS custkey, CAST(round_even(median(CAST(o_totalprice AS BIGINT)), 0) AS BIGINT) AS median_price, CAST(COUNT(*) AS BIGINT) AS orders FROM orders GROUP BY 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.plans.registry import query, table
+from quern.plans.registry import query, spread, table
 
 
 def normal(x: str) -> str:
@@ -22,7 +22,7 @@ def normal(x: str) -> str:
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-01, STR-02."""
     n = text.normalize_text(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(n).alias("digest"), F.char_length(n).cast("long").alias("size"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.md5(n).alias("digest"), F.char_length(n).cast("long").alias("size"))
 
 
 @query(f"SELECT doc_id, CASE WHEN {normal('text')} = '' AND coalesce(source, '') = '' THEN '' ELSE sha256({normal('text')} || chr(31) || coalesce(source, '')) END AS fingerprint FROM documents")
@@ -37,7 +37,7 @@ PHONE_SQL = text.PHONE
 @query(f"""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '{text.EMAIL}', '[email]', 'g'), '{text.PHONE}', '[phone]', 'g'), '[ \t\r\n]+', ' ', 'g')), 1, 4000) AS scrubbed FROM documents""")
 def pii_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-06."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.scrub(F.col("text")).alias("scrubbed"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.scrub(F.col("text")).alias("scrubbed"))
 
 
 @query(f"""WITH c AS (SELECT doc_id, list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(text, '{text.EMAIL}'), lambda x: lower(x)),
@@ -45,7 +45,7 @@ def pii_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, array_to_string(c, ',') AS contacts, CASE WHEN len(c) = 0 THEN '' ELSE sha256(array_to_string(c, '|')) END AS contact_hash FROM c WHERE len(c) > 0""")
 def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-05."""
-    c = table(spark, sf_dir, "documents").select("doc_id", text.contacts(F.col("text")).alias("c")).where(F.size("c") > 0)
+    c = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.contacts(F.col("text")).alias("c")).where(F.size("c") > 0)
     return c.select("doc_id", F.array_join("c", ",").alias("contacts"), F.sha2(F.array_join("c", "|"), 256).alias("contact_hash"))
 
 
@@ -53,7 +53,7 @@ def contact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page_id, trim(regexp_replace(t, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) AS body FROM t""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-02, SUP-03."""
-    return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("body"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id").select("page_id", text.html_text(F.col("html")).alias("body"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?i)<meta[^>]*charset="([^"]*)"', 1) AS charset FROM pages""")
@@ -77,20 +77,20 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", p["k"].alias("k"), F.coalesce(p["missing"], F.lit(-1)).alias("missing"))
 
 
-@query("""WITH n AS (SELECT doc_id, ' ' || regexp_replace(lower(substr(text, 1, 600)), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents WHERE lang = 'en')
+@query("""WITH n AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS t FROM documents WHERE lang = 'en')
 SELECT doc_id, contains(replace(replace(t, ' is not that ', ' '), ' not that ', ' '), ' that ') AS has_term FROM n""")
 def negation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-08, STR-09: a term unless negated right before it."""
-    n = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 600)), "[^a-z0-9]+", " "))
+    n = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
     d = table(spark, sf_dir, "documents").where("lang = 'en'")
     return d.select("doc_id", text.any_term_unless_negated(n, ["that"]).alias("has_term"))
 
 
-@query("""SELECT o_orderkey, replace(format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)), ',', chr(8239)) || ' Kc' AS price, replace(replace('<b>' || o_orderpriority || '&', '&', '&amp;'), '<', '&lt;') AS escaped FROM orders WHERE o_orderkey % 10 = 0""")
+@query("""SELECT o_orderkey, replace(format('{:,}', CAST(round_even(o_totalprice, 0) AS BIGINT)), ',', chr(8239)) || ' Kc' AS price, replace(replace('<b>' || o_orderpriority || '&', '&', '&amp;'), '<', '&lt;') AS escaped FROM orders""")
 def money_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-12, SNK-10, SUP-20: rendered cells."""
     esc = F.replace(F.replace(F.concat(F.lit("<b>"), "o_orderpriority", F.lit("&")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    return table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", text.money(F.bround("o_totalprice").cast("long"), "Kc").alias("price"), esc.alias("escaped"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.money(F.bround("o_totalprice").cast("long"), "Kc").alias("price"), esc.alias("escaped"))
 
 
 @query("""SELECT event_id, CAST(date_trunc('day', ts) AS DATE) AS day, strftime(ts, '%Y%m%d') AS day_key, CAST(floor(epoch(TIMESTAMP '2024-02-01' - ts) / 3600) AS BIGINT) AS age_hours, CASE WHEN epoch(TIMESTAMP '2024-02-01' - ts) < 86400 * 2 THEN 'new' ELSE 'old' END AS age FROM events""")

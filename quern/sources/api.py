@@ -1,8 +1,9 @@
 """Paged JSON API as a Python data source with filter pushdown (SRC-15, SRC-16).
 
 ``spark.read.format("paged_json").option("pages", folder)`` reads recorded
-response pages; comparisons on price and time are pushed into the reader, which
-passes them on as request parameters (here: it skips what they exclude).
+response pages from a folder that driver and executors share; comparisons on
+price and time are pushed into the reader, which passes them on as request
+parameters (here: it skips what they exclude).  Transient errors are tried again.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ def with_retries(call: Callable[[], object], status_of: Callable[[Exception], in
     raise AssertionError("attempts must be positive")
 
 
+def _status(error: Exception) -> int | None:
+    """Transient I/O errors of a shared folder count as an unavailable service; a missing or unreadable page doesn't."""
+    return None if isinstance(error, (FileNotFoundError, PermissionError, ValueError)) else 503 if isinstance(error, OSError) else getattr(error, "status", None)
+
+
 class _Page(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -56,7 +62,8 @@ class PagedReader(DataSourceReader):
         return all(row.get(c) is not None and tests[op](row[c], v) for c, op, v in self.bounds)
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        for row in json.loads(Path(partition.path).read_text()).get("listings", []):
+        page = with_retries(lambda: json.loads(Path(partition.path).read_text()), _status)
+        for row in page.get("listings", []):
             if self._passes(row):
                 yield tuple(row.get(c) for c in ("id", "title", "price", "currency", "created", "url"))
 

@@ -77,11 +77,15 @@ def validate(c: Config) -> list[str]:
 
 
 def load(path: str | Path, env: dict[str, str] | None = None) -> Config:
-    """Configuration of a JSON file, overlaid by QUERN_<FIELD> of ``env`` (the process by default); invalid raises."""
+    """Configuration of a JSON file, overlaid by QUERN_<FIELD> of the .env beside it and then of ``env`` (the process by default).
+
+    A source's key comes from QUERN_<NAME>_API_KEY; an invalid configuration raises.
+    """
     data = json.loads(Path(path).read_text(encoding="utf-8"))
-    data["sources"] = [_build(SourceConfig, s) for s in data.get("sources", [])]
+    env = read_env(Path(path).with_name(".env")) | (dict(os.environ) if env is None else env)
+    key = lambda s: env.get(f"{PREFIX}{str(s.get('name', '')).upper()}_API_KEY", s.get("api_key", ""))
+    data["sources"] = [_build(SourceConfig, s | {"api_key": key(s)}) for s in data.get("sources", [])]
     config = _build(Config, data)
-    env = dict(os.environ) if env is None else env
     for f in fields(Config):
         raw = env.get(PREFIX + f.name.upper())
         now = getattr(config, f.name)

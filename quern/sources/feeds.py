@@ -120,10 +120,7 @@ class HtmlCards:
 
 def cards(pages: DataFrame, column: str, pattern: str) -> DataFrame:
     """One row an ad id (SRC-08): of double cards the one with most text, its image from any of them."""
-    spark = pages.sparkSession
-    spark.udtf.register("html_cards", HtmlCards)
-    pages.createOrReplaceTempView("_card_pages")
-    rows = spark.sql(f"SELECT c.* FROM _card_pages p, LATERAL html_cards(p.`{column}`, '{pattern}') c")
+    rows = pages.select(F.col(column).alias("page")).lateralJoin(HtmlCards(F.col("page").outer(), F.lit(pattern))).drop("page")
     size = F.length(F.concat("title", "text", "price", "location", "time"))
     best = F.max_by(F.struct("url", "title", "time", "price", "location", "text"), F.struct(size, F.col("url"))).alias("b")
     out = rows.groupBy("id").agg(best, F.max(F.nullif("image", F.lit(""))).alias("image")).select("id", "b.*", F.coalesce("image", F.lit("")).alias("image"))
@@ -140,17 +137,27 @@ def relative_time(x: Column, now: Column) -> Column:
 
 
 def json_ld_price(page: Column) -> tuple[Column, Column]:
-    """(price, currency) of the first JSON-LD offer at the usual depths (SRC-10)."""
-    body = F.regexp_extract(page, '(?s)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>', 1)
-    paths = ["$.offers.price", "$.offers[0].price", "$.offers.lowPrice", "$[0].offers.price", "$['@graph'][0].offers.price", "$.price"]
-    price = F.coalesce(*[F.nullif(F.get_json_object(body, p), F.lit("")) for p in paths])
-    ccy = F.coalesce(*[F.get_json_object(body, p.rsplit(".", 1)[0] + ".priceCurrency") for p in paths])
-    return F.regexp_replace(price, "[^0-9.]", "").try_cast("double"), ccy
+    """(price, currency) of the first offer in the page's JSON-LD, at any depth (SRC-10).
+
+    A price is the value of the first key ``price`` (or ``lowPrice`` without one), whatever
+    objects and lists hold it; the currency is the one in the same object, else the first.
+    """
+    body = F.array_join(F.regexp_extract_all(page, F.lit('(?s)<script[^>]*application/ld\\+json[^>]*>(.*?)</script>'), 1), "\n")
+    number = r'"?\s*([0-9][0-9 .,]*)'
+    value = lambda key: F.nullif(F.regexp_extract(body, rf'"{key}"\s*:\s*{number}', 1), F.lit(""))
+    price = F.coalesce(value("price"), value("lowPrice"))
+    near = F.coalesce(*[F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in (r'"(?:price|lowPrice)"\s*:[^{}]*"priceCurrency"\s*:\s*"([A-Za-z]{3})"', r'"priceCurrency"\s*:\s*"([A-Za-z]{3})"')])
+    return F.regexp_replace(F.replace(price, F.lit(" "), F.lit("")), ",", ".").try_cast("double"), near
 
 
 LISTING_JSON = "id STRING, title STRING, url STRING, price STRUCT<amount: STRING, formatted_amount: STRING, currency: STRING>, location STRUCT<display_name: STRING, city: STRING, state: STRING>, primary_photo STRUCT<uri: STRING>, is_sold BOOLEAN, is_hidden BOOLEAN, creation_time BIGINT"
 
 
+def read_record(spark: SparkSession, path: str) -> DataFrame:
+    """Single listings as JSON objects, one a file (SRC-36): (title, description, price_czk, location); missing keys are NULL."""
+    return spark.read.option("multiLine", "true").schema("title STRING, description STRING, price_czk INT, location STRING").json(path)
+
+
 def read_marketplace(spark: SparkSession, path: str, default_currency: str = "CZK") -> DataFrame:
     """Listings of JSON responses (SRC-15, SRC-17, SRC-18): sold, hidden and malformed rows go."""
     raw = spark.read.option("multiLine", "true").schema(f"listings ARRAY<STRUCT<{_struct(LISTING_JSON)}>>, cursor STRING, has_next_page BOOLEAN").json(path)
@@ -201,17 +208,6 @@ def image_fingerprint(x: Column) -> Column:
     return F.when(bare == "", "").otherwise(F.sha2(bare, 256))
 
 
-def market_articles(pages: DataFrame, column: str, country: str, currency: str, pattern: str) -> DataFrame:
-    """Used-market rows of a page (SRC-20..23): blocks by pattern, address, title, price; one an id."""
-    blocks = pages.select(F.explode(F.regexp_extract_all(column, F.lit(pattern), 0)).alias("b"))
-    url = F.regexp_extract("b", 'href="([^"]+)"', 1)
-    key = F.coalesce(F.nullif(F.regexp_extract("b", 'data-(?:adid|id|item-id)="([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract(url, "([0-9]{5,})", 1), F.lit("")), F.substring(F.sha2(url, 256), 1, 20))
-    title = F.trim(F.regexp_replace(F.regexp_extract("b", "(?s)<h[1-4][^>]*>(.*?)</h[1-4]>", 1), "<[^>]*>", ""))
-    price = local_number(F.regexp_extract("b", "((?:€|EUR)? ?[0-9][0-9.,  ]*(?:€|EUR|,-)?)(?= *(?:</|€|EUR))", 1))
-    rows = blocks.select(key.alias("source_listing_id"), url.alias("url"), title.alias("title"), price.alias("price_original"), F.lit(currency).alias("currency"), F.lit(country).alias("country")).where("title <> ''")
-    return rows.groupBy("source_listing_id").agg(F.min_by(F.struct("url", "title", "price_original", "currency", "country"), "url").alias("r")).select("source_listing_id", "r.*")
-
-
 def mentions(title: Column, brand: Column, model: Column) -> Column:
     """Title holds the brand and every word of the model (SRC-26)."""
     t = text.normalize_text(title)

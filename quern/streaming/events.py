@@ -23,7 +23,16 @@ def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
     return reader.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_available(stream: DataFrame, mode: str = "append", state_partitions: int | None = None) -> DataFrame:
+def run_every(stream: DataFrame, folder: str, seconds: int, mode: str = "append"):
+    """The running query of a stream that is looked at every ``seconds``; stop it with ``stop()``.  Output and state lie in ``folder``."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{folder}/state").trigger(processingTime=f"{seconds} seconds").start()
+
+
+def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns what it wrote; state and output lie in the shared folder."""
     spark = stream.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -54,15 +63,38 @@ def sliding_calls(events: DataFrame, size: str = "24 hours", step: str = "1 hour
     return w.agg(F.count("*").alias("calls")).select("user_id", F.col("window.end").alias("until"), "calls")
 
 
-def breaker(events: DataFrame, limit: int = 3, open_minutes: int = 30) -> DataFrame:
+def alerts(events: DataFrame, now: str, most_hours: float = 6.0) -> DataFrame:
+    """Events young enough for a notice: what comes later than the watermark or is older by ``now`` gives none."""
+    age = (F.lit(now).cast("timestamp").cast("double") - F.col("ts").cast("double")) / 3600
+    return events.withWatermark("ts", f"{int(most_hours * 3600)} seconds").dropDuplicatesWithinWatermark(["event_id"]).where(age.between(0, most_hours))
+
+
+def run_isolated(streams: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(results, errors) by source: every source is a query of its own, so one that fails stops nothing but itself."""
+    done, errors = {}, {}
+    for name, stream in streams.items():
+        try:
+            done[name] = run_available(stream)
+        except Exception as e:
+            errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+    if errors and not done:
+        raise RuntimeError("every source failed: " + "; ".join(f"{k}: {v}" for k, v in errors.items()))
+    return done, errors
+
+
+def breaker(events: DataFrame, limit: int = 3, open_minutes: int = 30, forget_minutes: int = 60 * 24 * 40, lateness: str = "40 days") -> DataFrame:
     """Consecutive errors by key with a breaker that opens for a time (keyed state).
 
     State is (errors in a row, open until); rows of a batch are taken in event time.
+    The state of a key that stays silent for ``forget_minutes`` of event time is dropped.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, until = state.get if state.exists else (0, 0)
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
         out = []
@@ -75,6 +107,8 @@ def breaker(events: DataFrame, limit: int = 3, open_minutes: int = 30) -> DataFr
                     until = now + 60 * open_minutes
             out.append((int(key[0]), int(event_id), int(count), bool(refused)))
         state.update((int(count), int(until)))
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 60_000 * forget_minutes)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "errors_in_a_row", "refused"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, errors_in_a_row long, refused boolean", "errors long, until long", "append", GroupStateTimeout.NoTimeout)
+    own = events.withWatermark("ts", lateness).groupBy("user_id")
+    return own.applyInPandasWithState(step, "user_id long, event_id long, errors_in_a_row long, refused boolean", "errors long, until long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -99,12 +99,6 @@ def test_small_parsers(spark):
     assert df.limit(1).select(feeds.html_unescape(F.lit("a &amp; b"))).first()[0] == "a & b"
 
 
-def test_market_articles(spark):
-    page = '<article data-adid="111111"><a href="/s/111111"><h2>Trek Marlin</h2></a><p>450 €</p></article><article data-adid="111111"><a href="/s/111111"><h2>Trek Marlin</h2></a><p>450 €</p></article>'
-    rows = feeds.market_articles(spark.createDataFrame([(page,)], "h string"), "h", "DE", "EUR", "(?s)<article.*?</article>").collect()
-    assert [(r["source_listing_id"], r["title"], r["price_original"]) for r in rows] == [("111111", "Trek Marlin", 450.0)]
-
-
 def test_api_pushdown(spark, tmp_path):
     for i in range(2):
         (tmp_path / f"{i}.json").write_text(json.dumps({"listings": [{"id": f"{i}{j}", "title": "t", "price": 100 * j, "currency": "CZK", "created": j, "url": "u"} for j in range(5)]}))
