@@ -57,16 +57,26 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder before the next stage reads it."""
+    """All stages over ``documents``; each result is a table in the shared folder before the next stage reads it.
+
+    A table is deleted once the next one is written, all are if a stage fails; the
+    last one, which the result reads, goes when the session's file system closes.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     before = None
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-        if before:  # the written table has replaced it
-            files.delete(path(f"{folder}/{before}"), True)
-        before = name
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+            if before:  # the written table has replaced it
+                files.delete(path(f"{folder}/{before}"), True)
+            before = name
+        out = STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        files.delete(path(folder), True)
+        raise
+    files.deleteOnExit(path(folder))
+    return out
