@@ -1,4 +1,4 @@
-"""Command line: ``python -m quern list``, ``run NAME FOLDER [--out DIR]``, ``explain NAME FOLDER``, ``check-config FILE``."""
+"""Command line: ``python -m quern list``, ``run NAME FOLDER [--out DIR]``, ``explain NAME FOLDER``, ``check-config FILE``, ``check-record FILE`` (SUP-25)."""
 
 from __future__ import annotations
 
@@ -17,7 +17,8 @@ def main(argv: list[str] | None = None) -> int:
         q.add_argument("query", choices=sorted(QUERIES))
         q.add_argument("folder")
         q.add_argument("--out")
-    sub.add_parser("check-config").add_argument("file")
+    for name in ("check-config", "check-record"):
+        sub.add_parser(name).add_argument("file")
     a = p.parse_args(argv)
     if a.command == "list":
         for name in sorted(QUERIES):
@@ -29,6 +30,17 @@ def main(argv: list[str] | None = None) -> int:
         c = load(a.file)
         print(f"{len(c.usable_sources())} of {len(c.sources)} sources usable")
         return 0
+    if a.command == "check-record":
+        from pyspark.sql import functions as F
+
+        from quern.functions import text
+        from quern.operators import comparables, identity
+        from quern.sources.feeds import read_record
+
+        one = identity.identify(read_record(local_session(), a.file), "title", "description", normalize=text.normalize_text_exact)
+        norm = text.normalize_text(F.coalesce("title", F.lit("")))
+        print(one.select(F.to_json(F.struct("identity", comparables.prefilter(norm, F.col("identity.audience"), F.col("price_czk"), F.lit(False)).alias("prefilter")))).first()[0])
+        return 0
     df = QUERIES[a.query](local_session(), a.folder)
     if a.command == "explain":
         df.explain("formatted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import comparables, identity, joins, scoring, selection
+from quern.operators import comparables, diagnostics, identity, joins, scoring, selection
 from quern.plans.registry import query, table
 
 #: Normalised titles that take each branch of the filters.
@@ -233,3 +233,25 @@ def duplicate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(F.lit(words), F.when(k % 3 == 0, " volejte 777 123 456").when(k % 3 == 1, " nova baterie").otherwise(""))
     rows = x.select(k.alias("key"), (k % 3).cast("string").alias("source"), (1000 + F.col("block") * 10).alias("price"), F.col("i").alias("identity"), F.concat_ws(" ", "i.brand", "i.model", "i.trim").alias("title"), body.alias("description"))
     return comparables.duplicate_pairs(rows)
+
+
+CAUSES_SQL = """WITH v AS (SELECT p_partkey AS k, p_size % 5 AS uniq, p_size % 3 AS exact_n, p_size % 2 AS close_n, p_partkey % 3 AS home, p_partkey % 4 AS abroad, CASE p_partkey % 6 WHEN 0 THEN 'duplicate_only_results' WHEN 1 THEN 'foreign_only_estimate' WHEN 2 THEN 'no_matching_comparables' WHEN 3 THEN 'currency_error' ELSE 'market_price_found' END AS status,
+ CASE p_partkey % 7 WHEN 0 THEN 'high' ELSE 'low' END AS confidence, 1 + p_size % 2 AS sources, p_size / 50.0 AS spread, CASE WHEN p_size % 4 = 0 THEN p_retailprice END AS quick, CASE WHEN p_size % 8 = 1 THEN p_retailprice END AS market, p_partkey % 11 <> 0 AS named FROM part),
+c AS (SELECT *, list_filter([CASE WHEN status = 'duplicate_only_results' THEN 'duplicate_only_results' END, CASE WHEN uniq <= 0 THEN 'no_unique_comparables' END, CASE WHEN status = 'foreign_only_estimate' OR (abroad > 0 AND home = 0) THEN 'foreign_market' END,
+ CASE WHEN uniq > 0 AND exact_n + close_n = 0 THEN 'weak_model_match' END, CASE WHEN uniq > 0 AND uniq < 3 THEN 'few_comparables' END, CASE WHEN spread > 0.55 THEN 'large_price_spread' END, CASE WHEN sources = 1 THEN 'one_source' END], lambda x: x IS NOT NULL) AS l FROM v)
+SELECT k, CASE WHEN confidence <> 'low' THEN '' WHEN len(l) = 0 THEN 'other' ELSE array_to_string(l, ',') END AS causes, CASE WHEN confidence <> 'low' OR len(l) = 0 THEN 'other' ELSE l[1] END AS first_cause,
+CASE WHEN quick IS NOT NULL THEN '' WHEN status IN ('no_matching_comparables', 'duplicate_only_results') THEN status WHEN market IS NULL AND uniq > 0 THEN 'no_market_median' WHEN NOT named THEN 'insufficient_model_identification' WHEN status = 'currency_error' THEN 'technical_error' ELSE 'other' END AS missing FROM c"""
+
+
+@query(CAUSES_SQL)
+def diagnostic_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SCR-28: causes of a low confidence and of a missing price."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    status = F.get(F.array(*[F.lit(s) for s in ("duplicate_only_results", "foreign_only_estimate", "no_matching_comparables", "currency_error", "market_price_found", "market_price_found")]), (k % 6).cast("int"))
+    v = {
+        "confidence": F.when(k % 7 == 0, "high").otherwise("low"), "status": status, "comparables_unique": size % 5, "exact_comparables": size % 3, "close_comparables": size % 2, "home_comparables": k % 3, "foreign_comparables": k % 4,
+        "sources_used": F.when(size % 2 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"))), "quick_sale_price": F.when(size % 4 == 0, F.col("p_retailprice")), "market_price": F.when(size % 8 == 1, F.col("p_retailprice")),
+    }
+    x = table(spark, sf_dir, "part").select(k.alias("k"), (size / 50.0).alias("spread"), F.when(k % 11 != 0, "m").otherwise("").alias("model"), F.struct(*(c.alias(n) for n, c in v.items())).alias("v"))
+    x = x.select("k", diagnostics.confidence_causes(F.col("v"), F.col("spread")).alias("c"), diagnostics.missing_price_cause(F.col("v"), F.lit("b"), F.col("model")).alias("missing"))
+    return x.select("k", F.array_join("c", ",").alias("causes"), diagnostics.primary_cause(F.col("c")).alias("first_cause"), "missing")

@@ -30,6 +30,21 @@ def load_prompt(folder: str, name: str, version: str) -> tuple[str, str]:
     return (base / "system.md").read_text(encoding="utf-8"), (base / "schema.json").read_text(encoding="utf-8")
 
 
+def clear_caches() -> None:
+    """Forgets the prompts read so far (SUP-29)."""
+    load_prompt.cache_clear()
+
+
+def prompt_label(name: str, version: str) -> str:
+    """Name of a prompt for logs and keys (SUP-19)."""
+    return f"{name}-{version}"
+
+
+def user_message(task: str, payload: dict) -> str:
+    """Task text and the payload behind it, its keys in order (SUP-19)."""
+    return task + json.dumps(payload, ensure_ascii=False, sort_keys=True)
+
+
 def requests(listings: DataFrame, model: str, version: str) -> DataFrame:
     """(fingerprint, requested_model, payload): scrubbed payloads, one for equal content (AG-26, PRJ-05, STR-06)."""
     payload = F.to_json(F.struct(scrub(F.col("title"), 300).alias("title"), scrub(F.col("description"), 4000).alias("description"), F.col("price_czk")))

@@ -16,13 +16,15 @@ def write_report(df: DataFrame, folder: str) -> None:
 
 
 def backup(spark: SparkSession, source: str, target: str) -> int:
-    """Copy of a table with its row count checked (SNK-13)."""
+    """Copy of a table with its schema, row count and the sum of its rows' hashes checked (SNK-13)."""
     df = spark.read.parquet(source)
     df.write.mode("errorifexists").parquet(target)
-    before, after = df.count(), spark.read.parquet(target).count()
-    if before != after:
-        raise OSError(f"backup of {source} has {after} rows instead of {before}")
-    return after
+    copy = spark.read.parquet(target)
+    mark = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64(*(c for c, t in x.dtypes if not t.startswith("map"))).cast("decimal(38,0)"))).first()
+    before, after = mark(df), mark(copy)
+    if before != after or df.dtypes != copy.dtypes:
+        raise OSError(f"backup of {source} has {after[0]} rows instead of {before[0]}, or differs in them")
+    return after[0]
 
 
 def cards(df: DataFrame) -> DataFrame:

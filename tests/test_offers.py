@@ -293,3 +293,30 @@ def test_env_file(tmp_path):
 def test_similarity_normalises_first(spark):
     df = spark.createDataFrame([("Kolo, TREK!", "kolo trek")], "a string, b string")
     assert df.select(text.text_similarity(F.col("a"), F.col("b"))).first()[0] == 1.0 and matching.same_or_unknown is not None
+
+
+def test_diagnostics(spark):
+    from quern.operators import diagnostics as D
+
+    df = spark.createDataFrame([("dobry stav", "dobry stav", True), ("dobry stav nutny servis", "x" * 50, False), ("na opravu", "x" * 50, False), ("kolo", "x" * 50, True), ("kolo", "kolo", True)], "w string, d string, i boolean")
+    primary, labels = D.condition_group(F.col("w"), F.col("d"), F.col("i"), ["dobry stav"], 20)
+    assert [r[0] for r in df.select(primary).collect()] == ["unrecognized_positive_condition_phrase", "positive_negative_conflict", "other", "photos_but_no_textual_condition", "short_description"]
+    assert df.select(labels).collect()[2][0] == ["other_unrecognized_negative_condition"]
+    row = spark.createDataFrame([("helma poc", "", "x", "y", None), ("kolo", "", "excluded", "y", None), ("kolo", "kids", "x", "y", None), ("kolo", "", "x", "y", None)], "t string, a string, c string, s string, r string")
+    got = [r["p"] for r in row.select(D.hard_filter_provenance(F.col("t"), F.col("a"), F.col("c"), F.col("s"), F.col("r")).alias("p")).collect()]
+    assert [(p["result"], p["reason"], p["computed_source"]) for p in got] == [("excluded", "hard_filter_accessory_or_part", "title accessory terms"), ("excluded", "stored_excluded", ""), ("excluded", "hard_filter_kids_bike", "identity.audience"), ("pass", "", "")]
+    f = spark.createDataFrame([(["price_anomaly", "unknown"], {"price_anomaly": "discount 60"})], "f array<string>, v map<string,string>")
+    assert [tuple(x) for x in f.select(D.blocker_sources(F.col("f"), F.col("v"))).first()[0]] == [("price_anomaly", "evaluator", "discount 60")]
+    d = spark.createDataFrame([("a",), ("a",), (None,)], "x string")
+    assert [tuple(r) for r in D.distribution(d, "x", ["b", "a"]).collect()] == [("b", 0, 0.0), ("a", 2, 100.0)] and D.report(d, ["x", "x"]).count() == 4
+    with pytest.raises(ValueError, match="only 1"):
+        D.diagnostic_sample(spark.createDataFrame([("k", 1, ("Trek", "Marlin"))], "key string, last_seen_at int, identity struct<brand:string,model:string>"), 2)
+    s = spark.createDataFrame([(1, '{"brand": "Trek", "other": 1}')], "k int, j string")
+    assert D.decode_analysis(s, "j", "brand STRING, model STRING").first().asDict() == {"k": 1, "brand": "Trek", "model": None}
+
+
+def test_prompt_messages():
+    from quern.sources import calls
+
+    assert calls.prompt_label("a", "v1") == "a-v1" and calls.user_message("DATA:", {"b": 1, "a": "č"}) == 'DATA:{"a": "č", "b": 1}'
+    calls.clear_caches()
