@@ -31,6 +31,22 @@ def clamp(v: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(v, F.lit(low)), F.lit(high))
 
 
+def finite(x: Column) -> Column:
+    """A number that is neither NULL, NaN nor infinite (MTH-04)."""
+    v = x.cast("double")
+    return F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False))
+
+
+def ratio(x: Column, y: Column, default: float = 0.0) -> Column:
+    """x / y, the default where y is 0 or a side is unknown (MTH-04)."""
+    return F.coalesce(F.try_divide(x.cast("double"), y.cast("double")), F.lit(default))
+
+
+def relative_gap(x: Column, y: Column) -> Column:
+    """abs(x - y) / max(abs(x), abs(y)), 0 where both are 0 (MTH-04)."""
+    return ratio(F.abs(x - y), F.greatest(F.abs(x), F.abs(y)))
+
+
 def percent_discount(price: Column, reference: Column) -> Column:
     """Whole percent below the reference; NULL where either is missing or zero (MTH-06)."""
     known = (F.coalesce(price, F.lit(0)) != 0) & (F.coalesce(reference, F.lit(0)) != 0)

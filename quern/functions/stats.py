@@ -39,6 +39,15 @@ def _middle(x: Column, run: Column, total: Column, part) -> Column:
     return (low + high) / 2
 
 
+def medians_of(hist: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """(keys, name, n, low, high): median, number, least and greatest value of each group of a histogram."""
+    part = W.partitionBy(*keys)
+    run = hist.withColumn("_all", F.sum("_n").over(part)).withColumn("_run", F.sum("_n").over(part.orderBy(value).rowsBetween(W.unboundedPreceding, 0)))
+    at = lambda position: F.min(F.when(F.col("_run") >= position, F.col(value)))
+    middle = (at(F.floor((F.col("_all") + 1) / 2)) + at(F.floor(F.col("_all") / 2) + 1)) / 2
+    return run.groupBy(*keys).agg(middle.alias(name), F.sum("_n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"))
+
+
 def judged(hist: DataFrame, keys: list[str], value: str, low: float, high: float, least: int, mad: float | None, keep_all: bool) -> DataFrame:
     """The histogram with ``kept``: inside low..high medians and, with ``mad``, within that many absolute deviations.
 

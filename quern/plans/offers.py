@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import comparables, diagnostics, identity, joins, scoring, selection
+from quern.functions import numeric
+from quern.operators import comparables, dedup, diagnostics, identity, joins, scoring, selection, valuation
 from quern.plans.registry import query, table
 
 #: Normalised titles that take each branch of the filters.
@@ -214,6 +215,28 @@ def bootstrap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "skip_existing", "send_latest", "send_all")
 
 
+@query("""SELECT l_orderkey, l_linenumber, CAST(round_even(l_quantity / 2.0, 0) AS BIGINT) AS half, least(greatest(l_extendedprice / 1000, 2.0), 40.0) AS held, CAST(ceil(l_extendedprice / 700) AS BIGINT) AS up, CASE WHEN l_linenumber = 3 THEN 0.0 ELSE l_quantity / (l_linenumber - 3) END AS ratio,
+abs(l_extendedprice - l_quantity * 1000) / greatest(l_extendedprice, l_quantity * 1000) AS gap, l_linenumber <> 3 AS finite, CASE WHEN l_quantity >= 10 THEN CAST(round_even((100000 - l_extendedprice) / 100000 * 100, 0) AS INTEGER) END AS discount,
+CASE WHEN l_linenumber % 3 > 0 AND l_linenumber % 2 > 0 THEN 'mixed' WHEN l_linenumber % 3 > 0 THEN 'home_only' WHEN l_linenumber % 2 > 0 THEN 'foreign_only' ELSE 'unknown' END AS scope FROM lineitem""")
+def number_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MTH-01, MTH-04, MTH-06, SCR-04: rounding, bounds, guarded division, finite numbers, discount, market scope."""
+    price, q, n = F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_linenumber")
+    wild = F.when(n == 3, F.lit(float("inf"))).otherwise(q)
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", numeric.half_even(q / 2.0).cast("long").alias("half"), numeric.clamp(price / 1000, 2.0, 40.0).alias("held"), F.ceil(price / 700).cast("long").alias("up"), numeric.ratio(q, n - 3).alias("ratio"),
+        numeric.relative_gap(price, q * 1000).alias("gap"), numeric.finite(wild).alias("finite"), numeric.percent_discount(F.when(q >= 10, price), F.lit(100000)).alias("discount"), valuation.market_scope(n % 3, n % 2).alias("scope"),
+    )
+
+
+@query("""WITH n AS (SELECT user_id AS group_id, MAX(ts) AS detected_at FROM events WHERE event_id % 2 = 0 GROUP BY 1), o AS (SELECT user_id AS group_id, MIN(ts) AS old FROM events WHERE event_id % 5 = 1 GROUP BY 1)
+SELECT group_id, least(detected_at, coalesce(old, detected_at)) AS detected_at FROM n LEFT JOIN o USING (group_id)""")
+def rebuilt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-15: a table rebuilt whole keeps each group's earliest detection."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("group_id"), F.col("ts").alias("detected_at"), "event_id")
+    new = e.where("event_id % 2 = 0").groupBy("group_id").agg(F.max("detected_at").alias("detected_at"))
+    return dedup.rebuild(new, e.where("event_id % 5 = 1").select("group_id", "detected_at"))
+
+
 @query()
 def offer_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ENT-02, ENT-05, ENT-06, ENT-07, ENT-10, ENT-11: whole identities of made-up titles (golden tests in tests/test_identity.py)."""
