@@ -45,26 +45,33 @@ def refused(title: Column, combined: Column) -> Column:
     return identity.has_accessory_terms(title) | identity.any_part(combined, REJECT)
 
 
-def match_reason(t: Column, c: Column, no: Column) -> Column:
-    """Why a comparable ``c`` matches a target ``t`` or doesn't, both ``prepared``; first rule wins (SCR-21).  ``no`` is whether it is ``refused``."""
+def _facts(t: Column, c: Column) -> dict[str, Column]:
+    """What the match ladder asks about a pair of ``prepared`` identities, each answer once."""
     both = lambda f: (t[f] != "") & (c[f] != "")
     same = lambda f: both(f) & (t[f] == c[f])
-    other = lambda f: both(f) & (t[f] != c[f])
-    brand = same("brand")
-    model, family = brand & same("model"), brand & same("model_family")
-    years = F.when((t["model_year"] != 0) & (c["model_year"] != 0), F.abs(t["model_year"] - c["model_year"]))
     travel = (t["travel_mm"] != 0) & (c["travel_mm"] != 0)
-    known = reduce(lambda x, y: x + y, (both(f).cast("int") for f in COMPONENTS), travel.cast("int"))
-    agree = reduce(lambda x, y: x + y, (same(f).cast("int") for f in COMPONENTS), (travel & (F.abs(t["travel_mm"] - c["travel_mm"]) <= 20)).cast("int"))
+    out = {f"_{f}_differs": both(f) & (t[f] != c[f]) for f in ("electric", "audience", "bike_type", "suspension_type", "generation", "trim")}
+    out |= {f"_same_{f}": same(f) for f in ("brand", "model", "model_family", "bike_type")}
+    out["_years"] = F.when((t["model_year"] != 0) & (c["model_year"] != 0), F.abs(t["model_year"] - c["model_year"]))
+    out["_known"] = reduce(lambda x, y: x + y, (both(f).cast("int") for f in COMPONENTS), travel.cast("int"))
+    out["_agree"] = reduce(lambda x, y: x + y, (same(f).cast("int") for f in COMPONENTS), (travel & (F.abs(t["travel_mm"] - c["travel_mm"]) <= 20)).cast("int"))
+    return out
+
+
+def _reason(no: Column) -> Column:
+    """Why a comparable matches or doesn't, from the columns of ``_facts``; first rule wins (SCR-21)."""
+    is_ = lambda name: F.col(f"_{name}")
+    brand, years = is_("same_brand"), is_("years")
+    model, family = brand & is_("same_model"), brand & is_("same_model_family") & ~is_("generation_differs")
     out = F.when(no, "part_payment_rental_or_wanted")
     for f in ("electric", "audience", "bike_type", "suspension_type"):
-        out = out.when(other(f), f"{f}_mismatch")
+        out = out.when(is_(f"{f}_differs"), f"{f}_mismatch")
     return (
-        out.when(model & other("generation"), "generation_mismatch")
-        .when(model & other("trim"), "trim_differs_same_model_family")
+        out.when(model & is_("generation_differs"), "generation_mismatch")
+        .when(model & is_("trim_differs"), "trim_differs_same_model_family")
         .when(model, F.when(years <= 1, "exact_brand_model").when(years.isNull(), "exact_model_year_unknown").when(years <= 2, "exact_model_close_year").otherwise("model_year_too_far"))
-        .when(family & ~other("generation"), F.when(years.isNull() | (years <= 3), "same_model_family").otherwise("family_year_too_far"))
-        .when(same("bike_type") & (known >= 2) & (F.try_divide(agree, known) >= 0.67), "similar_component_class")
+        .when(family, F.when(years.isNull() | (years <= 3), "same_model_family").otherwise("family_year_too_far"))
+        .when(is_("same_bike_type") & (is_("known") >= 2) & (is_("agree") >= 0.67 * is_("known")), "similar_component_class")
         .when(~brand, "brand_mismatch")
         .otherwise("model_mismatch")
     )
@@ -78,12 +85,13 @@ MATCHES = {
 
 
 def match_comparables(pairs: DataFrame, t: str, c: str, no: str) -> DataFrame:
-    """``pairs`` with match_type, score and reason (JN-08)."""
+    """``pairs`` with match_type, score and reason (JN-08); ``t`` and ``c`` are ``prepared``, ``no`` is whether the comparable is ``refused``."""
     table = F.create_map(*[F.lit(x) for k, (kind, _) in MATCHES.items() for x in (k, kind)])
     points = F.create_map(*[F.lit(x) for k, (_, score) in MATCHES.items() for x in (k, score)])
-    out = pairs.withColumn("reason", match_reason(F.col(t), F.col(c), F.col(no)))
-    gap = F.when(F.col("reason") == "exact_brand_model", 0.05 * F.abs(F.col(t)["model_year"] - F.col(c)["model_year"])).otherwise(0.0)
-    return out.withColumns({"match_type": F.coalesce(F.try_element_at(table, F.col("reason")), F.lit("rejected")), "score": F.round(F.coalesce(F.try_element_at(points, F.col("reason")), F.lit(0.0)) - gap, 3)})
+    out = pairs.withColumns(_facts(F.col(t), F.col(c))).withColumn("reason", _reason(F.col(no)))
+    gap = F.when(F.col("reason") == "exact_brand_model", 0.05 * F.col("_years")).otherwise(0.0)
+    score = F.round(F.coalesce(F.try_element_at(points, F.col("reason")), F.lit(0.0)) - gap, 3)
+    return out.select(*pairs.columns, "reason", F.coalesce(F.try_element_at(table, F.col("reason")), F.lit("rejected")).alias("match_type"), score.alias("score"))
 
 
 def wanted_term(title: Column) -> Column:

@@ -131,6 +131,7 @@ CAST(CASE reason WHEN 'exact_brand_model' THEN round(1.0 - dy * 0.05, 3) WHEN 'e
 def match_ladder_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-08, SCR-21: every target with the comparables after it, through all branches of the match ladder."""
     x = _offers(spark, sf_dir).select("k", "block", comparables.prepared(F.col("i")).alias("i"), comparables.refused(F.col("title"), F.col("combined")).alias("no"))
+    x = x.repartition("k")  # identities are prepared once and apart from the pairs, whose code stays small enough to compile
     pairs = joins.ahead_pairs(x, ["block"], "k", 200).select(F.col("a.k").alias("target"), F.col("b.k").alias("other"), F.col("a.i").alias("t"), F.col("b.i").alias("c"), F.col("b.no").alias("no"))
     return comparables.match_comparables(pairs, "t", "c", "no").select("target", "other", "reason", "match_type", "score")
 
