@@ -71,16 +71,16 @@ ELECTRIC = ["motor bosch", "electric bike", " ebike", "e bike", "elektrokolo"]
 
 _GEN = r"\bgen(?:eration|erace)?\s*[-.]?\s*(\d{1,2})\b"
 _YEAR = r"\b(20[0-3]\d)\b"
-_MARKED = r"(?:12|14|16|18|20|24|26|27[.,]5|27|28|29)\s*(?:\"|''|palc(?:ove|ova|u)?|inch)"
-_BARE = r"(?:26|27[.,]5|27|28|29)"
+_MARKED = r"(?:29|28|27[.,]5|27|26|24|20|18|16|14|12)\s*(?:\"|''|palc(?:ove|ova|u)?|inch)"
+_BARE = r"(?:29|28|27[.,]5|27|26)"
 _WHEEL = rf"(?<!\d)(?:{_MARKED}|{_BARE})(?!\d)"
 _SIZE_WORD = r"(?:velikost|vel\.?|size|ramu|ram|frame|rahmen(?:grosse)?|grosse|gr\.?|maat|framemaat)"
-_FRAME = rf"\b{_SIZE_WORD}\s*[:.-]?\s*(xxs|xs|s|m/?l|m|l|xl|xxl|\d{{2}}(?:[.,]\d)?)\b"
+_FRAME = rf"\b{_SIZE_WORD}\s*[:.-]?\s*(\d{{2}}(?:[.,]\d)?|m/?l|xxl|xl|l|m|s|xs|xxs)\b"
 _WHEELS_AFTER = r"(?= ?(?:kol[aeo]?(?:ch|y)?|palc|wheels?|wielen)\b)"
 _WHEELS_BEFORE = r"(?<=\b(?:kolech|kola|kolo|kol|wheels?|wielen) ?(?:o ?)?)"
 _NO_FRAME_BEFORE = r"(?<!(?:velikost|vel\.?|size|ramec|ramu|ram|framemaat|frame|rahmen|rahmengrosse|grosse|gr\.?|maat) ?(?:kola|kol|ramu|frame)? ?\.? ?)"
-_ACCESSORY = r"\b(?:prodam|prodej|pouze|jen|samotny|nabizim)\s+ram(?:ec|u)?\b|\bram(?:ec|u)?\s+(?:bez|z)\b|\bna\s+kol(?:o|a|e|ech)?\b"
-_BIKE = r"\b(?:kol(?:o|a|e|em|ech|y|um)?|bicykl\w*|elektrokolo\w*|ebike|e-bike|bike|bicycle|fahrrad|rower)\b"
+_ACCESSORY = r"\bna\s+kol(?:ech|[oae])?\b|\bram(?:u|ec)?\s+(?:z|bez)\b|\b(?:nabizim|samotny|jen|pouze|prodej|prodam)\s+ram(?:u|ec)?\b"
+_BIKE = r"\b(?:rower|fahrrad|bicycle|bike|e-?bike|elektrokolo\w*|bicykl\w*|kol(?:um|ech|em|[oaey])?)\b"
 _TRAVEL = r"\b(80|90|1[0-9]0|200)\s*mm\b"
 
 #: First class of which a term occurs; terms are whole words where ``words`` is set, else any part of the text.

@@ -50,13 +50,13 @@ def _first(rows: DataFrame, source: str, country: str, most: int) -> DataFrame:
 def german(pages: DataFrame, column: str, most: int = 25) -> DataFrame:
     """SRC-21: articles with an id and an address; title and text from their JSON-LD, else from the mark-up."""
     b = _blocks(pages, column, r'<article class="aditem".*?</article>')
-    ld = F.from_json(_field(r'<script type="application/ld\+json">(.*?)</script>'), "title STRING, description STRING, contentUrl STRING")
+    ld = F.from_json(_field(r'application/ld\+json"[^<>]*>(.+?)</script'), "title STRING, description STRING, contentUrl STRING")
     said = lambda name, pattern: F.coalesce(F.nullif(ld[name], F.lit("")), plain(_field(pattern)))
     rows = b.select(
         "_page", "_at", F.regexp_extract("_b", r'data-adid="(\d+)"', 1).alias("source_listing_id"), html_unescape(F.regexp_extract("_b", 'data-href="([^"]+)"', 1)).alias("_href"),
-        said("title", r'<a class="ellipsis".*?>(.*?)</a>').alias("title"), said("description", r"aditem-main--middle--description[^>]*>(.*?)</p>").alias("description"),
-        amount(plain(_field(r"aditem-main--middle--price-shipping--price[^>]*>(.*?)</p>"))).alias("price_original"), F.coalesce(ld["contentUrl"], F.lit("")).alias("image_url"),
-        plain(_field(r"aditem-main--top--left[^>]*>(.*?)</div>")).alias("location"),
+        said("title", r'<a class="ellipsis".*?>(.*?)</a>').alias("title"), said("description", r"aditem-main--middle--description[^<>]*>(.+?)</p>").alias("description"),
+        amount(plain(_field(r"aditem-main--middle--price-shipping--price[^<>]*>(.+?)</p>"))).alias("price_original"), F.coalesce(ld["contentUrl"], F.lit("")).alias("image_url"),
+        plain(_field(r"aditem-main--top--left[^<>]*>(.+?)</div>")).alias("location"),
     )
     rows = rows.where(F.col("_href") != "").withColumn("url", absolute(F.col("_href"), F.lit("https://www.kleinanzeigen.de/")))
     return _first(rows, "kleinanzeigen_de", "DE", most)
@@ -68,9 +68,9 @@ def dutch(pages: DataFrame, column: str, most: int = 25) -> DataFrame:
     href = F.regexp_extract("_b", r'href="(/v/[^"?]+/m\d+-[^"]+)"', 1)
     rows = b.select(
         "_page", "_at", F.regexp_extract(href, r"/m(\d+)-[^/]*$", 1).alias("source_listing_id"), absolute(html_unescape(href), F.lit("https://www.marktplaats.nl/")).alias("url"),
-        plain(_field(r"ListingTitle_[^>]*>(.*?)</span>")).alias("title"), plain(_field(r"ListingDescription_[^>]*>(.*?)</span>")).alias("description"),
-        amount(plain(_field(r"ListingPrice_[^>]*>(.*?)</h5>"))).alias("price_original"), plain(_field(r"hz-Listing-seller-name-new[^>]*>(.*?)</span>")).alias("seller"),
-        plain(_field(r'data-testid="location-label"[^>]*>(.*?)</span>')).alias("location"), html_unescape(F.regexp_extract("_b", r'<img[^>]+(?:data-src|src)="([^"]+)"', 1)).alias("image_url"),
+        plain(_field(r"ListingTitle_[^<>]*>(.+?)</span>")).alias("title"), plain(_field(r"ListingDescription_[^<>]*>(.+?)</span>")).alias("description"),
+        amount(plain(_field(r"ListingPrice_[^<>]*>(.+?)</h5>"))).alias("price_original"), plain(_field(r"hz-Listing-seller-name-new[^<>]*>(.+?)</span>")).alias("seller"),
+        plain(_field(r'data-testid="location-label"[^<>]*>(.+?)</span>')).alias("location"), html_unescape(F.regexp_extract("_b", r'<img[^>]+(?:data-src|src)="([^"]+)"', 1)).alias("image_url"),
     )
     return _first(rows, "marktplaats_nl", "NL", most)
 
