@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.session import cut
 
+BLOCK_BITS = 19
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,3 +53,35 @@ def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     if now <= 0 or now > rows:
         conf.set(name, str(rows))
     return df
+
+
+def hash_bits(hashes: DataFrame, bits: int) -> np.ndarray:
+    """``1 << bits`` bits as 64-bit words, set at the low bits of the one long column of ``hashes``.
+
+    Executors make them, in blocks of 64 KB, so the driver gets some megabytes
+    whatever the number of hashes.  Other hashes may share a bit, so what passes
+    has to be joined to the hashes in the end.
+    """
+    block = min(bits, BLOCK_BITS)
+    low = F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            for b in np.unique(at >> block).tolist():
+                held.setdefault(b, np.zeros(1 << block, bool))[at[at >> block == b] & ((1 << block) - 1)] = True
+        for b, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+
+    rows = hashes.select(low.alias("low")).repartition(F.shiftright("low", block)).mapInArrow(pack, "block long, bits binary").collect()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for r in rows:
+        out[r["block"] << (block - 3) : (r["block"] + 1) << (block - 3)] = np.frombuffer(r["bits"], np.uint8)
+    return out.view(np.uint64)
+
+
+def has_bit(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit hash is set in the words of ``hash_bits``."""
+    low = hashes.view(np.uint64) & np.uint64(len(words) * 64 - 1)
+    return (words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0

@@ -14,8 +14,10 @@ the clusters; the first occurrence stays, the others go.
 Scale.  Band keys move as 16 bytes each, in one shuffle; buckets with the same
 members count once, so a near copy that collides in every band is compared
 once.  Triples are taken again from the text for colliding paragraphs only:
-their hashes go to the scan as a broadcast array while they number at most
-``MAX_BROADCAST_HASHES``, beyond it the triples are joined by shuffle.  A bucket
+executors pack their hashes into 8 MB of bits, which go to the scan as a
+broadcast while the hashes number at most ``MAX_BROADCAST_HASHES`` (what else
+shares a bit is dropped by the join to the buckets); beyond it the triples are
+joined by shuffle.  The hashes themselves never come to the driver.  A bucket
 of more than ``BUCKET`` members (a template's) is cut into parts, and each two
 parts are compared in a place of their own, so no task holds it whole.
 
@@ -35,9 +37,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col, numbered, small_batches
+from quern.llm.common import col, has_bit, hash_bits, numbered, small_batches
 from quern.operators.components import connected_components
-from quern.session import cut
+from quern.session import cut, drop_dead
 
 MIN_WORDS = 20
 SHINGLE = 3
@@ -47,6 +49,7 @@ ROWS = 3
 SEED = 977
 BUCKET = 4096
 MAX_BROADCAST_HASHES = 8_000_000
+HASH_BITS = 26
 
 
 def _paragraphs(part: np.ndarray, offsets: np.ndarray, min_words: int):
@@ -148,8 +151,7 @@ def _triples(min_words: int, shingle: int, wanted):
             content = _content(word, row, count).view(np.int64)
             ok = np.ones(len(content), bool)
             if only is not None:
-                at = np.searchsorted(only, content)
-                ok = only[np.minimum(at, len(only) - 1)] == content if len(only) else ~ok
+                ok = has_bit(only, content)
             value, owner = K.shingles(word, row, len(doc), shingle)
             mine = ok[owner]
             value, owner = K.distinct_per_row((value[mine] & np.uint64(0xFFFFFFFF)).astype(np.uint32), owner[mine])
@@ -260,18 +262,19 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     own = own.select("id", "text")
     keys = own.mapInArrow(_band_keys(min_words, shingle, bands, rows, seed), "key long, content long")
     buckets = cut(keys.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_runs, "bucket long, content long").distinct())
+    drop_dead(docs.sparkSession)  # the band keys
     colliding = buckets.select("content").distinct()
     few = colliding.limit(MAX_BROADCAST_HASHES + 1).count() <= MAX_BROADCAST_HASHES
     wanted = None
     if few:
-        chosen = np.sort(np.array(colliding.toPandas()["content"], np.int64))
-        wanted = docs.sparkSession.sparkContext.broadcast(chosen)
+        wanted = docs.sparkSession.sparkContext.broadcast(hash_bits(colliding, HASH_BITS))
     triples = own.mapInArrow(_triples(min_words, shingle, wanted), "content long, triples binary")
     triples = triples.join(colliding, "content", "left_semi") if not few else triples
     triples = triples.dropDuplicates(["content"])
     ready = _parts(buckets, bucket).join(triples, "content").select("bucket", "content", "triples").repartition("bucket").sortWithinPartitions("bucket", "content")
     edges = ready.mapInArrow(_verify(similar), "a long, b long").distinct()
     clusters = connected_components(edges).select(F.col("id").alias("content"), "component")
+    drop_dead(docs.sparkSession)  # the triples
     found = own.mapInArrow(_occurrences(min_words), "content long, doc_id long, paragraph int, words int")
     sizes = found.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "paragraph")).alias("first"))
     named = sizes.join(clusters, "content", "left").where("n > 1 OR component IS NOT NULL").select("content", F.coalesce("component", "content").alias("component"), "first")

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col, numbered, small_batches
+from quern.llm.common import col, has_bit, hash_bits, numbered, small_batches
 from quern.llm.paragraphs import named_again
 from quern.session import cut
 
 MIN_WORDS = 40
 SPREAD = 10
 MAX_BROADCAST_SEEDS = 8_000_000
-FILTER_BITS = 1 << 24
+FILTER_BITS = 24
 _LOW = (1 << 32) - 1
 
 
@@ -104,8 +104,7 @@ def _windows(min_words: int, wanted):
         for batch, lo, at, where, seeds, (part, o, start, row, word) in _each(batches, min_words):
             seed = seeds[where]
             if bits is not None:
-                low = seed & np.uint64(FILTER_BITS - 1)
-                ok = (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+                ok = has_bit(bits, seed)
             else:
                 ok, mine = np.zeros(len(seed), bool), row[at]
                 edges = np.flatnonzero(np.diff(mine, prepend=-1, append=-1))
@@ -124,15 +123,6 @@ def _windows(min_words: int, wanted):
     return run
 
 
-def _filter(seeds: DataFrame) -> np.ndarray:
-    """Bits that stand for the low bits of ``seeds``; other seeds may share them, which costs rows but no result."""
-    low = F.col("seed").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = seeds.groupBy(F.shiftright(low, 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(seed & 63 AS INT)))").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each occurrence of a window that stands in two places, with the first; rows come by (window, doc_id, place)."""
     held = None  # window, doc_id, place of the first occurrence; whether it is still the only one; the last row
@@ -209,7 +199,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     shared = cut(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
     schema = "window long, doc_id long, place long"
     if shared.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS:
-        wanted = docs.sparkSession.sparkContext.broadcast(_filter(shared))
+        wanted = docs.sparkSession.sparkContext.broadcast(hash_bits(shared, FILTER_BITS))
         windows = own.mapInArrow(_windows(min_words, wanted), schema)
     else:
         lists = seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -56,6 +57,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_dead(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that are done.
+
+    It does when the driver's JVM collects those plans, which a driver that holds
+    little would put off, while their files stay on the disks.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 
