@@ -14,7 +14,8 @@ sums by context and probabilities are Spark aggregations and joins over the
 distinct n-grams, so no language's model is built in one place.  Models of at
 most ``MAX_MODEL_BYTES`` together are broadcast; beyond it each text moves once,
 to a place of its language (one for every ``TEXT_BYTES_A_PLACE`` of text) that
-the language's arrays are sent to, where the same scorer reads them.  A model
+the language's arrays are sent to, where the same scorer reads them.
+Bands come from all labelled rows, by counts of slices and the order inside a few.  A model
 of byte 5-grams saturates, so a language's fits a worker.
 
 Defined cases: NULL or blank text has no word, hence no perplexity, and is
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from quern.llm import kernels as K
 from quern.llm.common import col, free_name, small_batches
@@ -45,7 +47,7 @@ ORDER = 5
 MAX_MODEL_BYTES = 96 << 20
 ENTRIES_A_PART = 500_000
 TEXT_BYTES_A_PLACE = 256 << 20
-MAX_LABELLED_ROWS = 100_000
+MAX_BROADCAST_IDS = 500_000
 MIN_LABELS_IN_CLASS = 40
 TAIL = 0.002
 SLACK_BITS = 0.15
@@ -419,22 +421,57 @@ def length_class(words: str):
     return F.least(F.floor(F.log2(F.greatest(F.col(words), F.lit(1)))), F.lit(20)).cast("int")
 
 
-def fit_bands(model: Model, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", max_labelled_rows: int = MAX_LABELLED_ROWS, tail: float = TAIL, slack: float = SLACK_BITS) -> DataFrame:
-    """(lang, class, low, high) in bits a word from at most ``max_labelled_rows`` labelled rows, taken in hash order.
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(keys, n, q): the quantiles of ``value`` at ``shares`` with linear interpolation, NULL keys being a group.
+
+    Values are counted by slices of 1 / 64 first, then only those of the slices
+    that hold a wanted rank are put in order, so no task holds or sorts a group.
+    """
+    rank = [f"_r{i}" for i in range(2 * len(shares))]
+    slices = rows.groupBy(*keys, F.floor(F.col(value) * 64).alias("_slice")).agg(F.count("*").alias("_n"))
+    up = W.partitionBy(*keys).orderBy("_slice")
+    slices = slices.withColumn("_before", F.sum("_n").over(up) - F.col("_n")).withColumn("n", F.sum("_n").over(W.partitionBy(*keys)))
+    for i, share in enumerate(shares):
+        at = (F.col("n") - 1) * F.lit(share)
+        slices = slices.withColumn(rank[2 * i], F.floor(at)).withColumn(rank[2 * i + 1], F.ceil(at))
+    inside = lambda r: (F.col(r) >= F.col("_before")) & (F.col(r) < F.col("_before") + F.col("_n"))
+    wanted = slices.where(F.array_max(F.array(*(inside(r) for r in rank))))
+    some = rows.select(*(F.col(k).alias("_k" + k) for k in keys), F.floor(F.col(value) * 64).alias("_s"), F.col(value).alias("_v")).groupBy(*("_k" + k for k in keys), "_s", "_v").agg(F.count("*").alias("_many"))
+    same = F.col("_slice") == F.col("_s")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col("_k" + k))
+    some = wanted.join(some, same)
+    last = F.sum("_many").over(W.partitionBy(*keys, "_slice").orderBy("_v")) + F.col("_before")
+    some = some.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_many"))
+    found = some.groupBy(*keys).agg(F.first("n").alias("n"), *(F.max(F.when((F.col(r) >= F.col("_first")) & (F.col(r) < F.col("_last")), F.col("_v"))).alias(r) for r in rank))
+    parts = []
+    for i, share in enumerate(shares):
+        at, low, high = (F.col("n") - 1) * F.lit(share), F.col(rank[2 * i]), F.col(rank[2 * i + 1])
+        parts.append(low + (high - low) * (at - F.floor(at)))
+    return found.select(*keys, "n", F.array(*parts).alias("q"))
+
+
+def fit_bands(model: Model, docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", max_broadcast_ids: int = MAX_BROADCAST_IDS, tail: float = TAIL, slack: float = SLACK_BITS) -> DataFrame:
+    """(lang, class, low, high) in bits a word from every labelled row.
 
     Documents labelled good give the ``tail`` and ``1 - tail`` quantiles, widened
     by ``slack``.  A class with under MIN_LABELS_IN_CLASS of them takes the class
     of all languages, and where that is as small the language's mean with
     ``DEVIATIONS`` deviations.  Language NULL stands for all languages together.
+    Up to ``max_broadcast_ids`` labelled ids go to the texts; beyond it all texts are
+    scored, and only their figures are joined to the labels by shuffle.
     """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    good = good.orderBy(F.xxhash64("_id"), "_id").limit(max_labelled_rows)
-    few = docs.select(col(doc_id).alias("_id"), col(model.lang).cast("string").alias("lang"), col(model.text).cast("string").alias("text"))
-    few = few.join(F.broadcast(good), "_id", "left_semi").select("lang", "text")
-    scored = model.score(few, "bits", "words", "text", "lang").where("words > 0").select(F.coalesce("lang", F.lit("")).alias("lang"), length_class("words").alias("class"), (F.col("bits") / F.col("words")).alias("rate"))
-    scored = cut(scored)
+    own = docs.select(col(doc_id).alias("_id"), col(model.lang).cast("string").alias("lang"), col(model.text).cast("string").alias("text"))
+    few = good.limit(max_broadcast_ids + 1).count() <= max_broadcast_ids
+    if few:
+        own = own.join(F.broadcast(good), "_id", "left_semi")
+    scored = model.score(own, "bits", "words", "text", "lang").where("words > 0").select("_id", F.coalesce("lang", F.lit("")).alias("lang"), length_class("words").alias("class"), (F.col("bits") / F.col("words")).alias("rate"))
+    if not few:
+        scored = scored.join(good.hint("merge"), "_id", "left_semi")
+    scored = cut(scored.select("lang", "class", "rate"))
     both = scored.unionByName(scored.withColumn("lang", F.lit(None).cast("string")))
-    bands = both.groupBy("lang", "class").agg(F.count("*").alias("n"), F.percentile("rate", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    bands = exact_quantiles(both, ["lang", "class"], "rate", (tail, 1 - tail))
     bands = bands.where(F.col("n") >= MIN_LABELS_IN_CLASS).select("lang", "class", (F.col("q")[0] - slack).alias("low"), (F.col("q")[1] + slack).alias("high"))
     # classes with fewer labels: mean and spread, whose variance falls as 1/words, from all labels together
     every = scored.agg(F.count("*").alias("n"), F.avg("rate").alias("m")).first()
