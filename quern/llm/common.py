@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm import kernels as K
 from quern.session import cut
 
 BLOCK_BITS = 19
+PACK_ROWS = 1 << 19
+PIECE_ROWS = 256
+PACKED = "cell int, data binary"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,3 +89,66 @@ def has_bit(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bit of each 64-bit hash is set in the words of ``hash_bits``."""
     low = hashes.view(np.uint64) & np.uint64(len(words) * 64 - 1)
     return (words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
+def cells(spark: SparkSession) -> int:
+    """Cells for ``pack``: eight a shuffle partition, so a task holds an eighth of one."""
+    return 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def pack(parts: Iterable[Sequence[np.ndarray]], cells: int, thin: Callable[[list[np.ndarray]], list[np.ndarray]] = list) -> Iterator[pa.RecordBatch]:
+    """Rows of 64-bit columns, gathered by the hash of the first: (cell, up to ``PIECE_ROWS`` rows in one binary).
+
+    Spark then moves and sorts one row for many.  ``thin`` may leave out rows of each ``PACK_ROWS``.
+    """
+    held: list[Sequence[np.ndarray]] = []
+    n = 0
+
+    def out() -> pa.RecordBatch:
+        columns = thin([np.concatenate(c) for c in zip(*held, strict=True)])
+        cell = (K.mix64(columns[0].view(np.uint64)) % np.uint64(cells)).astype(np.int32)
+        order = np.argsort(cell, kind="stable")
+        rows, cell = np.stack([c[order] for c in columns], 1), cell[order]
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        place = np.arange(len(cell)) - np.repeat(first, np.diff(np.append(first, len(cell))))
+        begin = np.flatnonzero(place % PIECE_ROWS == 0)
+        ends = (np.append(begin, len(cell)) * rows.itemsize * rows.shape[1]).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+        return pa.RecordBatch.from_arrays([pa.array(cell[begin]), data], ["cell", "data"])
+
+    for columns in parts:
+        if len(columns[0]):
+            held.append(columns)
+            n += len(columns[0])
+        if n >= PACK_ROWS:
+            yield out()
+            held, n = [], 0
+    if held:
+        yield out()
+
+
+def gathered(packed: DataFrame) -> DataFrame:
+    """``packed`` with each cell in one partition, its rows together."""
+    return packed.repartition("cell").sortWithinPartitions("cell")
+
+
+def unpack(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """The ``width`` columns of each cell, one cell at a time; rows come as ``gathered``."""
+    held: list[bytes] = []
+    now = None
+
+    def columns() -> list[np.ndarray]:
+        rows = np.frombuffer(b"".join(held), np.int64).reshape(-1, width)
+        return [np.ascontiguousarray(rows[:, i]) for i in range(width)]
+
+    for batch in batches:
+        cell, data = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)] if len(cell) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if held and cell[a] != now:
+                yield columns()
+                held = []
+            now = cell[a]
+            held += data[a:b]
+    if held:
+        yield columns()

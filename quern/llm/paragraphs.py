@@ -11,15 +11,18 @@ Jaccard similarity of their triples, breadth first within a bucket, which
 connects what a comparison of all pairs would connect.  Connected components are
 the clusters; the first occurrence stays, the others go.
 
-Scale.  Band keys move as 16 bytes each, in one shuffle; buckets with the same
-members count once, so a near copy that collides in every band is compared
-once.  Triples are taken again from the text for colliding paragraphs only:
-executors pack their hashes into 8 MB of bits, which go to the scan as a
-broadcast while the hashes number at most ``MAX_BROADCAST_HASHES`` (what else
-shares a bit is dropped by the join to the buckets); beyond it the triples are
-joined by shuffle.  The hashes themselves never come to the driver.  A bucket
-of more than ``BUCKET`` members (a template's) is cut into parts, and each two
-parts are compared in a place of their own, so no task holds it whole.
+Scale.  Band keys move as 16 bytes each, in one shuffle, packed many to a row
+(``common.pack``) and sorted where they arrive; buckets with the same members
+count once, so a near copy that collides in every band is compared once.
+Triples are taken again from the text for colliding paragraphs only: executors
+pack their hashes into 8 MB of bits, which go to the scan as a broadcast while
+the hashes number at most ``MAX_BROADCAST_HASHES`` (what else shares a bit is
+dropped by the join to the buckets); beyond it the triples are joined by
+shuffle.  The hashes themselves never come to the driver.  A bucket of more than
+``BUCKET`` members (a template's) is cut into parts, and each two parts are
+compared in a place of their own, so no task holds it whole.  Occurrences are
+taken from the texts once and kept in the shared folder, as the result reads
+them three times.
 
 Defined cases: NULL and empty texts and rows without an id have no paragraph;
 an id's repeated rows count as repeats of each other; ties go to the least
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col, has_bit, hash_bits, numbered, small_batches
+from quern.llm.common import PACKED, cells, col, gathered, has_bit, hash_bits, numbered, pack, small_batches, unpack
 from quern.operators.components import connected_components
 from quern.session import cut, drop_dead
 
@@ -100,8 +103,8 @@ def _occurrences(min_words: int):
     return run
 
 
-def _band_keys(min_words: int, shingle: int, bands: int, rows: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_keys(min_words: int, shingle: int, bands: int, rows: int, seed: int, cells: int):
+    def keys(batches: Iterator[pa.RecordBatch]):
         for _, doc, _, count, word, row in _each(batches, min_words):
             content, at = np.unique(_content(word, row, count), return_index=True)
             value, owner = K.shingles(word, row, len(doc), shingle)
@@ -110,16 +113,19 @@ def _band_keys(min_words: int, shingle: int, bands: int, rows: int, seed: int):
                 key = np.full(len(at), K.mix64(np.uint64(b + 1)), np.uint64)
                 for r in range(rows):
                     key = K.mix64(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, b * rows + r])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], ["key", "content"])
+                yield key.view(np.int64), content.view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pack(keys(batches), cells)
 
     return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, content) of the keys with two or more contents, in key order; a bucket is named by its members."""
-    held_k, held_c = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def out(k: np.ndarray, c: np.ndarray):
+    """(bucket, content) of the keys with two or more contents, cell by cell; a bucket is named by its members."""
+    for k, c in unpack(batches, 2):
+        order = np.lexsort((c, k))
+        k, c = k[order], c[order]
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
         k, c = k[new], c[new]
@@ -127,20 +133,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start[1:] = k[1:] != k[:-1]
         first = np.flatnonzero(start)
         size = np.diff(np.append(first, len(k)))
-        name = np.add.reduceat(K.mix64(c.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
+        name = np.add.reduceat(K.mix64(c.view(np.uint64)), first)
         keep = np.repeat(size > 1, size)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(c[keep])], ["bucket", "content"])
-
-    for batch in batches:
-        k = np.concatenate((held_k, batch.column(0).to_numpy()))
-        c = np.concatenate((held_c, batch.column(1).to_numpy()))
-        if not len(k):
-            continue
-        stop = int(np.searchsorted(k, k[-1]))
-        yield out(k[:stop], c[:stop])
-        held_k, held_c = k[stop:], c[stop:]
-    if len(held_k):
-        yield out(held_k, held_c)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep].view(np.int64)), pa.array(c[keep])], ["bucket", "content"])
 
 
 def _triples(min_words: int, shingle: int, wanted):
@@ -260,8 +255,8 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     own, names = numbered(small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).alias("doc_id"), F.lower(col(text).cast("string")).alias("text")), "doc_id", "id")
     own = own.select("id", "text")
-    keys = own.mapInArrow(_band_keys(min_words, shingle, bands, rows, seed), "key long, content long")
-    buckets = cut(keys.repartition("key").sortWithinPartitions("key", "content").mapInArrow(_runs, "bucket long, content long").distinct())
+    keys = own.mapInArrow(_band_keys(min_words, shingle, bands, rows, seed, cells(docs.sparkSession)), PACKED)
+    buckets = cut(gathered(keys).mapInArrow(_runs, "bucket long, content long").distinct())
     drop_dead(docs.sparkSession)  # the band keys
     colliding = buckets.select("content").distinct()
     few = colliding.limit(MAX_BROADCAST_HASHES + 1).count() <= MAX_BROADCAST_HASHES
@@ -275,7 +270,7 @@ def repeated_paragraphs(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     edges = ready.mapInArrow(_verify(similar), "a long, b long").distinct()
     clusters = connected_components(edges).select(F.col("id").alias("content"), "component")
     drop_dead(docs.sparkSession)  # the triples
-    found = own.mapInArrow(_occurrences(min_words), "content long, doc_id long, paragraph int, words int")
+    found = cut(own.mapInArrow(_occurrences(min_words), "content long, doc_id long, paragraph int, words int"))
     sizes = found.groupBy("content").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "paragraph")).alias("first"))
     named = sizes.join(clusters, "content", "left").where("n > 1 OR component IS NOT NULL").select("content", F.coalesce("component", "content").alias("component"), "first")
     heads = named.groupBy("component").agg(F.min("first").alias("head"))

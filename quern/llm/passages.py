@@ -10,7 +10,9 @@ found.  The first occurrence of a window stays; neighbouring windows of one
 text that repeat neighbouring windows of another become one row.
 
 Scale.  Seeds move once (8 bytes for one word in six), windows only where a
-seed is shared.  Shared seeds go to the scan as 2 MB of broadcast bits while they
+seed is shared, by their hash and then by their text.  Seeds and the second move
+are packed many to a row (``common.pack``); the rows of one text are sorted where
+they arrive.  Shared seeds go to the scan as 2 MB of broadcast bits while they
 number at most ``MAX_BROADCAST_SEEDS``; beyond it each text is joined to its own.
 
 Defined cases: NULL and empty texts and rows without an id have no passage; the
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import kernels as K
-from quern.llm.common import col, has_bit, hash_bits, numbered, small_batches
+from quern.llm.common import PACKED, cells, col, gathered, has_bit, hash_bits, numbered, pack, small_batches, unpack
 from quern.llm.paragraphs import named_again
 from quern.session import cut
 
@@ -93,6 +95,28 @@ def _seeds(min_words: int):
     return run
 
 
+def _seed_cells(min_words: int, cells: int):
+    """The seeds packed by cell, of each seed in a pack at most two, which is enough to be shared."""
+
+    def twice(columns: list[np.ndarray]) -> list[np.ndarray]:
+        seed = np.sort(columns[0])
+        keep = np.ones(len(seed), bool)
+        keep[2:] = seed[2:] != seed[:-2]
+        return [seed[keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pack(([b.column(0).to_numpy()] for b in _seeds(min_words)(batches)), cells, twice)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The seeds that occur twice, cell by cell."""
+    for (seed,) in unpack(batches, 1):
+        seed = np.sort(seed)
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(seed[1:][seed[1:] == seed[:-1]]))], ["seed"])
+
+
 def _windows(min_words: int, wanted):
     """(window, doc_id, place) of the windows of shared seeds; place is line << 32 | word.
 
@@ -186,6 +210,23 @@ def _spans(min_words: int):
     return run
 
 
+def _head_cells(cells: int):
+    """``_heads``, packed by the cell of their doc_id, without the shift, which their places give."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return pack(([b.column(i).to_numpy() for i in (0, 1, 3, 4)] for b in _heads(batches)), cells)
+
+    return run
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed heads in the order ``_spans`` reads them, a cell at a time."""
+    for d, h, p, q in unpack(batches, 4):
+        shift = (p & _LOW) - (q & _LOW)
+        order = np.lexsort((p, shift, h, d))
+        yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in (d, h, shift, p, q)], ["doc_id", "head", "shift", "place", "head_place"])
+
+
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, paragraph, words, cluster_doc, cluster_paragraph, removed, first_word, cluster_first_word).
 
@@ -195,16 +236,17 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     own, names = numbered(small_batches(docs).where(col(doc_id).isNotNull()).select(col(doc_id).alias("doc_id"), F.lower(col(text).cast("string")).alias("text")), "doc_id", "id")
     own = own.select(F.col("id").alias("doc_id"), "text")
-    seeds = own.mapInArrow(_seeds(min_words), "seed long, doc_id long")
-    shared = cut(seeds.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
+    most = cells(docs.sparkSession)
+    shared = cut(gathered(own.mapInArrow(_seed_cells(min_words, most), PACKED)).mapInArrow(_shared, "seed long"))
     schema = "window long, doc_id long, place long"
     if shared.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS:
         wanted = docs.sparkSession.sparkContext.broadcast(hash_bits(shared, FILTER_BITS))
         windows = own.mapInArrow(_windows(min_words, wanted), schema)
     else:
+        seeds = own.mapInArrow(_seeds(min_words), "seed long, doc_id long")
         lists = seeds.join(shared, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
         windows = own.join(lists, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_windows(min_words, None), schema)
-    heads = windows.repartition("window").sortWithinPartitions("window", "doc_id", "place").mapInArrow(_heads, "doc_id long, head long, shift long, place long, head_place long")
-    ready = heads.repartition("doc_id").sortWithinPartitions("doc_id", "head", "shift", "place")
-    out = ready.mapInArrow(_spans(min_words), "doc_id long, paragraph int, words int, cluster_doc long, cluster_paragraph int, removed boolean, first_word int, cluster_first_word int")
+    heads = windows.repartition("window").sortWithinPartitions("window", "doc_id", "place").mapInArrow(_head_cells(most), PACKED)
+    spans = _spans(min_words)
+    out = gathered(heads).mapInArrow(lambda batches: spans(_ordered(batches)), "doc_id long, paragraph int, words int, cluster_doc long, cluster_paragraph int, removed boolean, first_word int, cluster_first_word int")
     return named_again(out, names, docs.schema[doc_id].dataType.simpleString())
