@@ -75,10 +75,14 @@ def comparable_weight(match_type: Column, at_home: Column, score: Column, age_da
 
 
 def depreciated(new_price: Column, age_years: Column, generation: Column) -> Column:
-    """SCR-23: step-rounded share of the new price by age, else by generation alone, else NULL."""
-    by_age = F.element_at(F.array(*[F.lit(x) for x in DEPRECIATION]), F.greatest(F.lit(1), F.least(age_years, F.lit(len(DEPRECIATION)))).cast("int"))
-    rate = F.when(age_years.isNotNull(), by_age).when(F.coalesce(generation, F.lit("")) != "", F.lit(GENERATION_ONLY))
-    return numeric.step_round(new_price * rate)
+    """SCR-23: step-rounded share of the whole new price by age, else by generation alone, else NULL.
+
+    The share is taken in decimals: as floats 0.55 of 27,000 lies above the tie it is.
+    """
+    share = lambda x: F.lit(str(x)).cast("decimal(2,2)")
+    by_age = F.element_at(F.array(*[share(x) for x in DEPRECIATION]), F.greatest(F.lit(1), F.least(age_years, F.lit(len(DEPRECIATION)))).cast("int"))
+    rate = F.when(age_years.isNotNull(), by_age).when(F.coalesce(generation, F.lit("")) != "", share(GENERATION_ONLY))
+    return numeric.step_round((new_price.cast("decimal(20,0)") * rate).cast("double"))
 
 
 def error_runs(events: DataFrame, key: str, order: list[str], is_error: Column) -> DataFrame:
