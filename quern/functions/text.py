@@ -31,11 +31,10 @@ def strip_accents(x: Column) -> Column:
 
 
 def normalize_text(x: Column) -> Column:
-    """Fast normaliser (STR-01): folds, decimal comma to dot, dashes to blanks, keeps [a-z0-9+./"'], squeezes."""
+    """Fast normaliser (STR-01): folds, decimal comma to dot, runs of all but [a-z0-9+./"'] to one blank, dashes among them."""
     t = F.replace(strip_accents(x), F.lit("’"), F.lit("'"))
-    t = F.regexp_replace(t, "[-–]", " ")
     t = F.regexp_replace(t, "([0-9]),([0-9])", "$1.$2")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9+./\"']+", " "), " +", " "))
+    return F.trim(F.regexp_replace(t, "[^a-z0-9+./\"']+", " "))
 
 
 def _exact(s: str | None) -> str | None:
@@ -111,16 +110,25 @@ def _ratio(a: str | None, b: str | None, short_overlap: bool) -> float:
     return round(score, 4)
 
 
+def _ratios(a: pd.Series, b: pd.Series, short_overlap: bool) -> pd.Series:
+    """``_ratio`` of the rows, once for each pair of texts in them."""
+    known: dict[tuple, float] = {}
+    for pair in zip(a, b, strict=True):
+        if pair not in known:
+            known[pair] = _ratio(*pair, short_overlap)
+    return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity_long(a: pd.Series, b: pd.Series) -> pd.Series:
     """Greater of matching-blocks ratio and token overlap, the latter for long texts only (STR-07); of texts that ``duplicate_text`` normalised."""
-    return pd.Series([_ratio(x, y, False) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _ratios(a, b, False)
 
 
 @F.pandas_udf(T.DoubleType())
 def similarity_short(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same with the overlap allowed for short texts."""
-    return pd.Series([_ratio(x, y, True) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return _ratios(a, b, True)
 
 
 def text_similarity(a: Column, b: Column, short_overlap: bool = False) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import numeric
 from quern.operators import comparables, dedup, diagnostics, identity, joins, scoring, selection, valuation
-from quern.plans.registry import query, table
+from quern.plans.registry import query, spread, table
 
 #: Normalised titles that take each branch of the filters.
 TITLES = (
@@ -245,13 +245,13 @@ def offer_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     title = F.concat_ws(" ", F.lit("Prodám"), F.get(brands, (k % len(identity.BRANDS)).cast("int")), F.initcap(F.split_part("p_type", F.lit(" "), F.lit(1))), (k % 9).cast("string"), F.when(k % 3 == 0, F.concat(F.lit("Gen "), (1 + k % 4).cast("string"))), F.lit("29 palcu"), (2015 + k % 10).cast("string"))
     part = table(spark, sf_dir, "part").select("p_partkey", title.alias("title"), F.concat_ws(" ", F.lit("velikost L"), "p_name", F.lit("horské kolo, hydraulické brzdy")).alias("description"))
-    return identity.identify(part, "title", "description").select("p_partkey", "title", "identity.*")
+    return identity.identify(spread(part, "p_partkey"), "title", "description").select("p_partkey", "title", "identity.*")
 
 
 @query()
 def duplicate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN-06, STR-03, STR-07: duplicates with identity, contact and both similarities (held against difflib in tests/test_offers.py)."""
-    x = _offers(spark, sf_dir)
+    x = spread(_offers(spark, sf_dir), "k")
     k = F.col("k")
     words = "prodam kolo v dobrem stavu po celkovem servisu jezdene rekreacne garazovane nove plaste a retez k videni kdykoliv po domluve"
     body = F.concat(F.lit(words), F.when(k % 3 == 0, " volejte 777 123 456").when(k % 3 == 1, " nova baterie").otherwise(""))

@@ -27,6 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its files give fewer splits than that, as one large row group does; else as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    """``df`` over all cores, for work that weighs more than moving the rows.
+
+    The number of splits doesn't tell: those of a file of one row group are all
+    empty but one.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)

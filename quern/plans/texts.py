@@ -21,14 +21,17 @@ def normal(x: str) -> str:
 @query(f"SELECT doc_id, md5({normal('text')}) AS digest, length({normal('text')}) AS size FROM documents")
 def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-01, STR-02."""
-    n = text.normalize_text(F.col("text"))
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.md5(n).alias("digest"), F.char_length(n).cast("long").alias("size"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", text.normalize_text(F.col("text")).alias("n"))
+    n = F.col("n")
+    return d.select("doc_id", F.md5(n).alias("digest"), F.char_length(n).cast("long").alias("size"))
 
 
 @query(f"SELECT doc_id, CASE WHEN {normal('text')} = '' AND coalesce(source, '') = '' THEN '' ELSE sha256({normal('text')} || chr(31) || coalesce(source, '')) END AS fingerprint FROM documents")
 def text_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-04."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(text.normalize_text(F.col("text")), F.col("source")).alias("fingerprint"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    n = d.select("doc_id", "source", text.normalize_text(F.col("text")).alias("n"))  # a column of its own: worked out once, though used twice
+    return n.select("doc_id", text.fingerprint(F.col("n"), F.col("source")).alias("fingerprint"))
 
 
 PHONE_SQL = text.PHONE

@@ -32,3 +32,17 @@ def test_score_of_a_customer_without_orders(spark, tmp_path):
     customers = ("c_custkey long, c_acctbal double", [(1, 500.0), (2, 7097.2), (3, -1.0), (4, None)])
     got = check(spark, tmp_path, "weighted_mean_renorm", customer=customers, orders=orders)
     assert {r["c_custkey"]: r["score"] for r in got}[2] == 86.805455
+
+
+def test_normalised_texts_with_runs_of_every_kind(spark, tmp_path):
+    said = ["1,5 a-b – c,d", " , lead", "trail ,- ", "a\t\nb", "x  y", "–", "", "1,2,3,4", "Ünï ß ’q’ 日本 z", "a,,b", "9 ,9", "\x00a\x00\x00", "a   b"]
+    documents = ("doc_id long, text string, source string", [(n, t, "s" if n % 2 else None) for n, t in enumerate(said)])
+    check(spark, tmp_path, "text_fingerprint", documents=documents)
+    check(spark, tmp_path, "text_normalize", documents=documents)
+
+
+def test_heavy_rows_of_one_file_are_spread(spark, tmp_path):
+    for name in ("text_fingerprint", "text_normalize", "offer_identities"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism, name
+    plan = QUERIES["text_fingerprint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1, "the text is normalised once"
