@@ -46,3 +46,27 @@ def test_heavy_rows_of_one_file_are_spread(spark, tmp_path):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism, name
     plan = QUERIES["text_fingerprint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("translate(") == 1, "the text is normalised once"
+
+
+def test_repeated_texts_are_compared_once(spark, monkeypatch):
+    import itertools
+
+    import pandas as pd
+
+    from quern.functions import text
+    from quern.operators import comparables
+
+    calls, ratio = [], text._ratio
+    monkeypatch.setattr(text, "_ratio", lambda *a: calls.append(a) or ratio(*a))
+    assert text._ratios(pd.Series(["a b c", "a b c", "d"]), pd.Series(["a b", "a b", "d"]), True).tolist() == [1.0, 1.0, 1.0] and len(calls) == 2
+    identity = "generation string, model_year int, wheel_size string, frame_size string, trim string, bike_type string, electric boolean, audience string, brand string, model string"
+    who = [("", 2020, "29", "", "Pro", "", None, "", "Trek", "Marlin"), ("Gen 2", None, "29", "", "pro", "", False, "", "TREK", "marlin"), ("-", 2021, "29", "", "", "", True, "", "trek", "Marlin")]
+    rows = [(k, "abc"[k % 3], 100 if k % 7 else 0, who[k % len(who) if k % 2 else 0], "Trek Marlin", ["x y z", "x y z w", None][k % 5 % 3]) for k in range(60)]
+    df = spark.createDataFrame(rows, f"key int, source string, price int, identity struct<{identity}>, title string, description string")
+    got = {(r["a"], r["b"]): tuple(r)[2:] for r in comparables.duplicate_pairs(df).collect()}
+    assert set(got) == {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if a[1] != b[1] and a[2] and b[2]}
+    for a, b in itertools.combinations(rows, 2):
+        if (a[0], b[0]) in got:
+            whole = text._ratio(a[5] or "", b[5] or "", False)
+            clash = any(x and y and str(x).lower() != str(y).lower() for x, y in zip(a[3][:8], b[3][:8], strict=True) if {x, y} & {2020, 2021}) or {a[3][0], b[3][0]} == {"Gen 2", "-"} or {a[3][6], b[3][6]} == {True, False}
+            assert got[a[0], b[0]][2] == (0.0 if clash else whole)
