@@ -70,3 +70,28 @@ def test_repeated_texts_are_compared_once(spark, monkeypatch):
             whole = text._ratio(a[5] or "", b[5] or "", False)
             clash = any(x and y and str(x).lower() != str(y).lower() for x, y in zip(a[3][:8], b[3][:8], strict=True) if {x, y} & {2020, 2021}) or {a[3][0], b[3][0]} == {"Gen 2", "-"} or {a[3][6], b[3][6]} == {True, False}
             assert got[a[0], b[0]][2] == (0.0 if clash else whole)
+
+
+@pytest.mark.parametrize("part", [1, 3, 1024])
+def test_tiles_of_any_size_give_all_pairs(spark, part):
+    import itertools
+
+    from quern.operators import tiles
+    from quern.operators.components import connected_components
+
+    said = ["a b c d e f g", "a b c d e f x", "", "a b c d e f g", "q r s", " "]
+    rows = [(n, f"s{n % 3}" if n % 11 else None, said[n % 7 % 6], n % 2 if n % 13 else None) for n in range(60)]
+    df = spark.createDataFrame(rows, "id long, source string, t string, block int")
+    words = [{w for w in r[2].split(" ") if w} for r in rows]
+    want = {}
+    for x, y in itertools.combinations(range(60), 2):
+        if rows[x][1] and rows[y][1] and rows[x][1] != rows[y][1] and rows[x][3] is not None and rows[x][3] == rows[y][3]:
+            least = min(len(words[x]), len(words[y]))
+            want[x, y] = len(words[x] & words[y]) / least if least else 0.0
+    got = tiles.overlap_pairs(df, ["block"], "id", "source", "t", part).collect()
+    assert len(got) == len(want) and {(r["a"], r["b"]): r["s"] for r in got} == want
+    edges = tiles.overlap_edges(df, ["block"], "id", "source", "t", 0.85, 0.95, part)
+    near = spark.createDataFrame([k for k, s in want.items() if s >= 0.85], "a long, b long")
+    parts = lambda e: {tuple(r) for r in connected_components(e).collect()}
+    assert parts(edges) == parts(near)
+    assert part < 1024 or edges.count() < len(rows) < near.count()
