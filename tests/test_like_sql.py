@@ -95,3 +95,23 @@ def test_tiles_of_any_size_give_all_pairs(spark, part):
     parts = lambda e: {tuple(r) for r in connected_components(e).collect()}
     assert parts(edges) == parts(near)
     assert part < 1024 or edges.count() < len(rows) < near.count()
+
+
+def test_ratio_is_difflibs():
+    import difflib
+    import random
+
+    from quern.functions.text import matching_ratio
+
+    pick = random.Random(5)
+    for _ in range(600):
+        a, b = ("".join(pick.choice("abcde xyz"[: pick.randint(1, 9)]) for _ in range(pick.choice([0, 1, 5, 30, 199, 200, 201, 260]))) for _ in "12")
+        assert matching_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_pairs_of_unknown_texts_stay(spark, tmp_path):
+    documents = [(n, "en", f"s{n % 2}", 5, [None, "", "a b c", "a b d"][n % 4]) for n in range(12)]
+    spark.createDataFrame(documents, "doc_id long, lang string, source string, n_chars int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("seq_ratio_pairs", "dup_pairs_blocked"):
+        rows = QUERIES[name](spark, str(tmp_path)).collect()
+        assert len(rows) == 36 and {r["similarity"] == 0.0 for r in rows if documents[r[0]][4] is None} == {True}
